@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import chat, exact_dedup, langid, ngram, packing, tokens
+from rowloom.llm import chat, exact_dedup, langid, ngram, packing, tokens, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,23 @@ FROM e GROUP BY conv_id
 """
 
 
+def op1_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op2_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.train_and_score(_table(spark, sf_dir, "documents"))
 
@@ -81,6 +98,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_va_topk": op1_va_topk,
     "op2_ngram_score": op2_ngram_score,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_format": op4_chat_format,
@@ -90,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_va_topk": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_chat_format": OP4_SQL,
 }
