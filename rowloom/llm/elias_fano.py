@@ -101,16 +101,20 @@ class Sequence:
             return out
         high = (values >> U64(self.bits)).astype(np.int64)
         low = values & U64((1 << self.bits) - 1)
-        at = np.zeros(len(values), np.int64)
+        # Elements with this high part are at begin .. end - 1.  Low parts rise
+        # there, and a dense context puts many into one part: search by halves.
+        begin = np.zeros(len(values), np.int64)
         later = high > 0
-        at[later] = self._select(high[later] - 1, False) + 1
-        index = at - high
-        left = np.arange(len(values))
+        begin[later] = self._select(high[later] - 1, False) + 1 - high[later]
+        end = self._select(high, False) - high
+        left = np.flatnonzero(begin < end)
+        begin, end, low = begin[left], end[left], low[left]
         while len(left):
-            one = (self.high[at >> 6] >> (at & 63).astype(U64)) & U64(1)
-            left, at, index = left[one == 1], at[one == 1], index[one == 1]
-            same = unpack(self.low, self.bits, index)
-            out[left[same == low[left]]] = index[same == low[left]]
-            go = same < low[left]
-            left, at, index = left[go], at[go] + 1, index[go] + 1
+            mid = (begin + end) >> 1
+            got = unpack(self.low, self.bits, mid)
+            hit = got == low
+            out[left[hit]] = mid[hit]
+            begin, end = np.where(got < low, mid + 1, begin), np.where(got > low, mid, end)
+            go = ~hit & (begin < end)
+            left, begin, end, low = left[go], begin[go], end[go], low[go]
         return out
