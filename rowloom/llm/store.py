@@ -68,3 +68,12 @@ def read(uri: str) -> dict[str, np.ndarray]:
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + size].tobytes())
     return {name: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in head.items()}
+
+
+def write_bytes(uri: str, data: bytes) -> None:
+    """Write one file of plain bytes; see ``write``."""
+    write(uri, {"bytes": np.frombuffer(data, np.uint8)})
+
+
+def read_bytes(uri: str) -> memoryview:
+    return memoryview(np.asarray(read(uri)["bytes"]))
