@@ -46,7 +46,7 @@ from rowloom.llm.scratch import fresh_path
 SPAN, LEAD = 50, 20
 REACH = SPAN - LEAD
 #: Bytes of text in a block and, on average, behind the anchors of a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 3 << 19, 12 << 20
 #: Most buckets (as powers of two), and texts sampled for splitters.
 MAX_BITS, SAMPLE_TEXTS = 12, 512
 
