@@ -73,19 +73,28 @@ class Sequence:
         samples = {k: np.searchsorted(e, np.arange(0, int(e[-1]), STEP), side="right").astype(np.uint32) for k, e in ends.items()}
         return {"shape": np.array([n, bits], np.int64), "low": pack(values & U64((1 << bits) - 1), bits), "high": high, "rank": rank, **samples}
 
+    def _before(self, word: np.ndarray, ones: bool) -> np.ndarray:
+        """Number of ones or zeros before each word."""
+        rank = self.rank[word].astype(np.int64)
+        return rank if ones else word * 64 - rank
+
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Bit position of the (k + 1)th one or zero."""
-        word = (self.ones if ones else self.zeros)[k // STEP].astype(np.int64)
-        before = self.rank[word].astype(np.int64) if ones else word * 64 - self.rank[word].astype(np.int64)
-        last = len(self.high) - 1
-        while True:
-            following = self.rank[word + 1].astype(np.int64)
-            if not ones:
-                following = (word + 1) * 64 - following
-            more = (following <= k) & (word < last)
-            if not more.any():
-                break
-            word, before = word + more, np.where(more, following, before)
+        samples = self.ones if ones else self.zeros
+        part = k // STEP
+        word = samples[part].astype(np.int64)
+        after = np.where(part + 1 < len(samples), samples[np.minimum(part + 1, len(samples) - 1)], len(self.high) - 1).astype(np.int64)
+        # The last word with at most k before it, by halves: a run of ones can be long.
+        left = np.flatnonzero(word < after)
+        low, top, want = word[left], after[left], k[left]
+        while len(left):
+            mid = (low + top + 1) >> 1
+            enough = self._before(mid, ones) <= want
+            low, top = np.where(enough, mid, low), np.where(enough, top, mid - 1)
+            done = low >= top
+            word[left[done]] = low[done]
+            left, low, top, want = left[~done], low[~done], top[~done], want[~done]
+        before = self._before(word, ones)
         bits = self.high[word]
         return word * 64 + _select_in_word(bits if ones else ~bits, k - before)
 

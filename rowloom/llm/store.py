@@ -55,7 +55,7 @@ def read(uri: str) -> dict[str, np.ndarray]:
     """
     path = _plain(uri)
     if path is not None:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
     else:
         from pyarrow import fs
 
@@ -64,7 +64,7 @@ def read(uri: str) -> dict[str, np.ndarray]:
             while block := source.read(1 << 24):
                 f.write(block)
             f.flush()
-            raw = np.memmap(f, np.uint8, "r")
+            raw = np.asarray(np.memmap(f, np.uint8, "r"))
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + size].tobytes())
     return {name: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in head.items()}
