@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import chat, exact_dedup, langid, neardup, ngram, packing, suffixes, tokens, vafile
+from rowloom.llm import chat, exact_dedup, langid, neardup, ngram, packing, segment, suffixes, tokens, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_gumbel_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the samples; ``segment.sample_segmentations`` also gives the ids."""
+    return segment.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2, with_ids=False)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048)
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_bagminhash": op6_bagminhash,
     "op7_token_counts": op7_token_counts,
+    "op8_gumbel_segment": op8_gumbel_segment,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
