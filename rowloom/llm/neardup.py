@@ -19,9 +19,9 @@ their similarity.
 Candidates.  Texts with equal multisets are one node.  Nodes that agree in a
 band of ROWS components share a bucket; each is first compared with the least
 node of the bucket only.  Where nodes of a bucket are still in different groups
-after that, every node outside the bucket's largest group is compared with the
-NEAREST likeliest nodes of each other group there, and so on until no new pair
-comes up.  Pairs whose signatures agree in less than LIKELY of the components
+after that, every node outside the bucket's largest group is compared with its NEAREST
+likeliest nodes there, then with the next ones, four times as many each time,
+until it is in one group with the others or has been compared with all.  Pairs whose signatures agree in less than LIKELY of the components
 are too far below the threshold to be read.
 
 Every candidate is verified on the exact multisets (48 bits of each shingle's
@@ -279,24 +279,25 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """In one bucket: for nodes outside the largest group, the likeliest partners in each other group."""
-    node, label = table["node"].to_numpy(), table["label"].to_numpy()
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SIZE)
-    groups, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
-    out: list[tuple[int, int]] = []
-    order = np.argsort(inverse, kind="stable")
-    edges = np.cumsum(counts) - counts
-    for i in np.flatnonzero(inverse != counts.argmax()):
-        agree = (sig == sig[i]).mean(axis=1)
-        for g, a in enumerate(edges):
-            members = order[a : a + counts[g]]
-            if g == inverse[i]:
-                continue
-            near = members[agree[members] >= LIKELY]
-            for m in near[np.lexsort((node[near], -agree[near]))[:NEAREST]]:
-                out.append((min(node[i], node[m]), max(node[i], node[m])))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+def _across(begin: int, end: int):
+    """In one bucket: for nodes outside the largest group, their likeliest partners of ranks begin to end - 1, where in another group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SIZE)
+        _, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
+        out: list[np.ndarray] = []
+        for i in np.flatnonzero(inverse != counts.argmax()):
+            agree = (sig == sig[i]).mean(axis=1)
+            agree[i] = 0
+            near = np.flatnonzero(agree >= LIKELY)
+            near = near[np.lexsort((node[near], -agree[near]))][begin:end]
+            near = near[inverse[near] != inverse[i]]
+            out.append(np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])]))
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,22 +330,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Documents with equal multisets are linked to their node.
     links = stash(_verified(pairs, bags), "neardup-links")
-    tested = pairs
+    tested, begin, end = pairs, 0, NEAREST
     while True:
-        groups = components(single.select("node"), links)
-        groups = stash(groups, "neardup-groups")
+        groups = stash(components(single.select("node"), links), "neardup-groups")
         placed = alive.join(groups, "node")
-        mixed = placed.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band", "h")
+        counted = placed.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"))
+        mixed = stash(counted.filter("x != y").select("band", "h", "n"), "neardup-mixed")
+        most = mixed.agg(F.max("n")).collect()[0][0] or 0
+        if begin >= most:
+            break
         open_rows = placed.join(mixed, ["band", "h"], "left_semi").join(single.select("node", "sig"), "node")
-        more = open_rows.groupBy("band", "h").applyInArrow(_across, "a long, b long").distinct()
+        more = open_rows.groupBy("band", "h").applyInArrow(_across(begin, end), "a long, b long").distinct()
         more = stash(_agreeing(more.join(tested, ["a", "b"], "left_anti"), single), "neardup-pairs")
-        if more.isEmpty():
-            break
         tested = tested.unionByName(more)
-        found = stash(_verified(more, bags), "neardup-links")
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
+        links = links.unionByName(stash(_verified(more, bags), "neardup-links"))
+        begin, end = end, end * 4
 
     placed = member.select("doc_id", "node").join(groups, "node").groupBy("doc_id").agg(F.min("label").alias("class_id"))
     rows = docs.select(F.col(id_col).alias("doc_id"))

@@ -53,3 +53,7 @@ def release_all() -> None:
     """Delete every stashed folder; call it once earlier results are consumed."""
     for spark, path in list(_live):
         drop(spark, path)
+
+
+def unique() -> str:
+    return uuid.uuid4().hex[:12]
