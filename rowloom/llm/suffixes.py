@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm import store
 from rowloom.llm.arrow import slices
+from rowloom.llm.neardup import mix
 from rowloom.llm.scratch import fresh_path
 
 #: Length of a repeated string, and of the leading bytes of an anchor.
@@ -126,7 +127,8 @@ class Text:
         at = np.flatnonzero((most[: len(lead)] == lead) & (most[: len(lead)] > 0) & inside[: len(lead)])
         context = rolling(np.concatenate([values[:0], values]), REACH + SPAN)
         number = np.searchsorted(self.starts, at, side="right") - 1
-        return number, at, lead[at], context[at - REACH]
+        # Anchors have small hashes; mixed once more they fall evenly into buckets.
+        return number, at, mix(lead[at]), context[at - REACH]
 
 
 def _write_block(path: str, batch: pa.RecordBatch, settled: np.ndarray) -> None:
