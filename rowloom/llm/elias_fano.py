@@ -112,10 +112,19 @@ class Sequence:
         low = values & U64((1 << self.bits) - 1)
         # Elements with this high part are at begin .. end - 1.  Low parts rise
         # there, and a dense context puts many into one part: search by halves.
-        begin = np.zeros(len(values), np.int64)
-        later = high > 0
-        begin[later] = self._select(high[later] - 1, False) + 1 - high[later]
-        end = self._select(high, False) - high
+        at = np.zeros(len(values), np.int64)
+        later = np.flatnonzero(high)
+        at[later] = self._select(high[later] - 1, False) + 1
+        begin = at - high
+        # The ones from there on: mostly they end in the same word.
+        room = 64 - (at & 63)
+        word = self.high[at >> 6] >> (at & 63).astype(U64)
+        with np.errstate(over="ignore"):
+            ones = np.bitwise_count(word ^ (word + U64(1))).astype(np.int64) - 1
+        ones[word == ~U64(0)] = 64
+        end = begin + ones
+        longer = np.flatnonzero(ones >= room)
+        end[longer] = self._select(high[longer], False) - high[longer]
         left = np.flatnonzero(begin < end)
         begin, end, low = begin[left], end[left], low[left]
         while len(left):

@@ -44,7 +44,7 @@ DISCOUNT = 0.75
 #: Documents to a shard, on average, and the most shards (as powers of two).
 SHARD_DOCS, MAX_SHARD_BITS = 4096, 14
 #: Entries of a worker's vocabulary cache, characters of a slice, keys of a block.
-CACHE_WORDS, SLICE_CHARS, BLOCK_KEYS = 600_000, 2_000_000, 4_000_000
+CACHE_WORDS, SLICE_CHARS, BLOCK_KEYS = 600_000, 4_000_000, 4_000_000
 #: The end of a text; white space, so no word equals it.
 END = b"\n"
 #: Codes cover logarithms from 0 to -CODE_RANGE.
@@ -220,11 +220,14 @@ class Reader:
         found, p = np.full(len(context), -1, np.int64), np.zeros(len(context))
         context = np.where(following >= 0, context, -1)
         for shard, places, local in self.by_shard(level, context):
-            universe = U64(shard["universe"][0])
-            at = shard["succ"].find(local.astype(U64) * universe + following[places].astype(U64))
-            hit = at >= 0
-            found[places[hit]] = at[hit] + shard["first"][0]
-            p[places[hit]] = _DECODED[shard["prob"][at[hit]]]
+            keys = local.astype(U64) * U64(shard["universe"][0]) + following[places].astype(U64)
+            bit = _bit(keys, len(shard["filter"]))
+            maybe = np.flatnonzero(shard["filter"][bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            at = shard["succ"].find(keys[maybe])
+            hit = np.flatnonzero(at >= 0)
+            places, at = places[maybe[hit]], at[hit]
+            found[places] = at + shard["first"][0]
+            p[places] = _DECODED[shard["prob"][at]]
         return found, p
 
     def pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,6 +297,20 @@ def _count_tokens(texts: DataFrame, model: Model) -> None:
     model.set_level(1, {r.shard: r.size for r in found})
 
 
+def _bit(keys: np.ndarray, size: int) -> np.ndarray:
+    """Place of each key among the bits of a filter of ``size`` (a power of two) bytes."""
+    with np.errstate(over="ignore"):
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(32) & U64(size * 8 - 1)).astype(np.int64)
+
+
+def _filter(keys: np.ndarray) -> np.ndarray:
+    """About a byte for each key; a key whose bit is not set is not in the level."""
+    size = 1 << max(3, len(keys)).bit_length()
+    flags = np.zeros(size * 8, bool)
+    flags[_bit(keys, size)] = True
+    return np.packbits(flags, bitorder="little")
+
+
 def _write_level(model: Model, level: int, shard: int, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray | None, universe: int) -> tuple[int, int]:
     """Write the retained n-grams below the shard's contexts; their number and the most below one context."""
     start, end = model.starts[level - 1][shard : shard + 2]
@@ -308,7 +325,8 @@ def _write_level(model: Model, level: int, shard: int, keys: np.ndarray, counts:
     weight = 1 - np.bincount(context, p, contexts)
     pointers = np.concatenate([[0], np.cumsum(sizes)])
     parts = {"prob": encode_log(p), "weight": encode_log(np.maximum(weight, 1e-10)), "universe": np.array([universe], np.int64), "counts": counts.astype(np.uint32)}
-    parts |= {f"succ.{k}": v for k, v in Sequence.build(context.astype(U64) * U64(universe) + follow, contexts * universe).items()}
+    keys = context.astype(U64) * U64(universe) + follow
+    parts |= {"filter": _filter(keys)} | {f"succ.{k}": v for k, v in Sequence.build(keys, contexts * universe).items()}
     parts |= {f"ptr.{k}": v for k, v in Sequence.build(pointers, len(follow) + 1).items()}
     store.write(f"{model.folder}/{level}-{shard:05d}", parts)
     return len(follow), int(sizes.max(initial=0))
