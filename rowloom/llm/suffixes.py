@@ -438,15 +438,17 @@ def _kept(text_at: int, chars_at: int | None):
     return run
 
 
-def _splitters(docs: DataFrame, text_col: str, buckets: int) -> np.ndarray:
+def _splitters(docs: DataFrame, text_col: str, buckets: int, texts: int) -> np.ndarray:
     """Leading characters that cut sampled suffixes into ``buckets`` even shares.
 
-    The sample is SAMPLE_TEXTS texts of hash order, 4,096 characters of each.
-    It only balances the buckets; every suffix is dealt by the splitters.
+    The sample is about SAMPLE_TEXTS of ``texts`` texts, by hash, 4,096
+    characters of each; it has this bound for any size of input.  It only
+    balances the buckets; every suffix is dealt by the splitters.
     """
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(F.substring(text_col, 1, 64)).alias("h"), F.substring(text_col, 1, 4096).alias("t"))
-    texts = [r.t.encode() for r in rows.orderBy("h").limit(SAMPLE_TEXTS).collect()]
-    text = Text(texts)
+    h = F.xxhash64(F.substring(text_col, 1, 64))
+    rows = docs.filter(F.col(text_col).isNotNull() & (F.pmod(h, F.lit(max(1, texts // SAMPLE_TEXTS))) == 0))
+    sample = rows.select(F.substring(text_col, 1, 4096).alias("t")).limit(4 * SAMPLE_TEXTS)
+    text = Text([r.t.encode() for r in sample.collect()])
     _, at, _, _ = text.anchors()
     if buckets < 2 or not len(at):
         return np.zeros(0, U64)
@@ -458,9 +460,10 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (block, starts): places in each block where a repeated string starts, beside those already known."""
     folder = fresh_path(docs.sparkSession, "suffixes")
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).collect()[0].n or 0
+    found = docs.agg(F.sum(F.octet_length(text_col)).alias("size"), F.count(F.lit(1)).alias("texts")).collect()[0]
+    size = found.size or 0
     bits = min(MAX_BITS, max(0, (size // BUCKET_BYTES).bit_length()))
-    splitters = _splitters(docs, text_col, 1 << bits)
+    splitters = _splitters(docs, text_col, 1 << bits, found.texts)
     anchors = _first_pass(docs, folder, bits, id_at, text_at)
     met = anchors.groupBy("bucket").applyInArrow(_meet, "block string, settled binary, open binary")
     open_rows = met.groupBy("block").applyInArrow(_open_suffixes(splitters, id_at, text_at), "bucket long, block string, window binary, right binary, left binary, doc binary, place binary")
