@@ -41,10 +41,11 @@ RANK_SHIFT = 8.0
 BYTES_RANK = 1_000_000.0
 LONGEST = 16
 SPACE = "▁"
-CACHE_WORDS, SLICE_CHARS, LONG_WORD = 250_000, 500_000, 40
+CACHE_WORDS, SLICE_CHARS, LONG_WORD = 350_000, 500_000, 40
 TABLE_BITS = 20
 #: What is left of a word beside its first draw counts as nothing below this probability.
 LEAST_MASS = 1e-14
+DEEPEST = -64.0
 
 U64 = np.uint64
 _BASE, _STEP = U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
@@ -147,63 +148,75 @@ class Lattices:
             setattr(self, name, g.room[: g.size])
 
     def states(self, words: list[str]) -> np.ndarray:
-        """First state of each word."""
+        """First state of each word; the space before it belongs to the lattice."""
         if len(self.words) > CACHE_WORDS:
             self.clear()
         new = list(set(words).difference(self.words))
-        for group in ([w for w in new if len(w) <= LONG_WORD], *([w] for w in new if len(w) > LONG_WORD)):
+        for group in ([w for w in new if len(w) < LONG_WORD], *([w] for w in new if len(w) >= LONG_WORD)):
             if group:
                 self._add(group)
         return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
+    def _matches(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that match: position, length, piece (below 0: a character in bytes) and weight; by position, longest first."""
+        h, rows, found = np.zeros(len(text), U64), np.arange(len(text)), []
+        with np.errstate(over="ignore"):
+            for n in range(1, LONGEST + 1):
+                rows = rows[left[rows] >= n]
+                h[rows] = h[rows] * _BASE + text[rows + (n - 1)] + U64(1)
+                k = self.v.find(h[rows])
+                hit = np.flatnonzero((k >= 0) & (k < len(self.v.ids)))
+                at, piece = rows[hit], k[hit]
+                weight = self.v.weights[piece]
+                if n == 1:
+                    spelled = np.ones(len(text), bool)
+                    spelled[at] = False
+                    spelled = np.flatnonzero(spelled)
+                    at, piece = np.concatenate([at, spelled]), np.concatenate([piece, -2 - text[spelled].astype(np.int32)])
+                    weight = np.concatenate([weight, np.full(len(spelled), self.v.byte_weight)])
+                found.append((at, np.full(len(at), n), piece, weight))
+                rows = rows[k >= 0]
+                if not len(rows):
+                    break
+        at, length, piece, weight = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
+        order = np.argsort(at, kind="stable")
+        return at[order], length[order], piece[order], weight[order]
+
     def _add(self, words: list[str]) -> None:
-        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(U64)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        """Lattices of new words, all at once; a long word comes alone."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        text = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), np.uint32).astype(U64)
         ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(len(text))
-        piece = np.zeros((len(text), LONGEST), np.int32)
-        weight = np.zeros((len(text), LONGEST))
-        h, rows = np.zeros(len(text), U64), np.arange(len(text))
-        with np.errstate(over="ignore"):
-            for n in range(min(LONGEST, int(lengths.max()))):
-                rows = rows[left[rows] > n]
-                h[rows] = h[rows] * _BASE + text[rows + n] + U64(1)
-                found = self.v.find(h[rows])
-                hit = (found >= 0) & (found < len(self.v.ids))
-                weight[rows[hit], n], piece[rows[hit], n] = self.v.weights[found[hit]], found[hit]
-                rows = rows[found >= 0]
-        spelled = weight[:, 0] == 0
-        weight[spelled, 0] = self.v.byte_weight
-        piece[spelled, 0] = -2 - text[spelled].astype(np.int32)
-        # Mass of all ways from a position to the end, from the end back.  Masses of
-        # a position and those after it share a scale, kept near 1 at each position.
-        mass = np.zeros((len(text), LONGEST))
-        after = np.zeros((len(words), LONGEST))
-        after[:, 0] = 1
-        by_length = np.argsort(-lengths, kind="stable")
-        sizes = -lengths[by_length]
-        for d in range(1, int(lengths.max()) + 1):
-            own = by_length[: np.searchsorted(sizes, -d, side="right")]
-            at = ends[own] - d
-            ways = weight[at] * after[own]
-            total = ways.sum(axis=1)
-            mass[at] = ways / total[:, None]
-            after[own, 1:] = after[own, :-1] / total[:, None]
-            after[own, 0] = 1
-        longest_first = mass[:, ::-1]
-        row, column = np.nonzero(longest_first)
-        odds = longest_first[row, column]
+        at, length, piece, weight = self._matches(text, left)
+        # A state for each position and one for each end.
+        number = np.repeat(np.arange(len(words)), lengths)
+        state = np.arange(len(text)) + number
+        source, target = state[at], state[at] + length
+        # Mass of all ways from a state to the end, from the end back.
+        mass = np.zeros(len(text) + len(words))
+        mass[ends + np.arange(len(words))] = 1
+        order = np.argsort(left[at].astype(np.int32), kind="stable")
+        edges = np.flatnonzero(np.diff(left[at[order]], prepend=0))
+        odds = np.empty(len(at))
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            own = order[a:b]
+            ways = weight[own] * mass[target[own]]
+            first = np.flatnonzero(np.diff(source[own], prepend=-1))
+            total = np.add.reduceat(ways, first)
+            mass[source[own[first]]] = total
+            odds[own] = ways / np.repeat(total, np.diff(np.append(first, len(own))))
+            if len(words) == 1 and total[0] < 1e-100:
+                # The states of a long word share a scale, which only ratios leave.
+                mass /= total[0]
         first_state = len(self.begin) - 1
-        state = np.arange(len(text)) + np.repeat(np.arange(len(words)), lengths)
-        counts = np.zeros(len(text) + len(words), np.int64)
-        counts[state] = np.bincount(row, minlength=len(text))
+        counts = np.bincount(source, minlength=len(mass))
         up_to = np.cumsum(odds)
-        start = np.flatnonzero(np.diff(row, prepend=-1))
-        up_to -= np.repeat(up_to[start] - odds[start], np.diff(np.append(start, len(row))))
-        up_to[np.append(row[1:] != row[:-1], True)] = 2
-        n = LONGEST - 1 - column
+        start = np.flatnonzero(np.diff(source, prepend=-1))
+        up_to -= np.repeat(up_to[start] - odds[start], np.diff(np.append(start, len(source))))
+        up_to[np.append(start[1:] - 1, len(source) - 1)] = 2
         self.words.update(zip(words, (first_state + ends - lengths + np.arange(len(words))).tolist(), strict=True))
-        more = {"begin": self.begin[-1] + np.cumsum(counts), "up_to": up_to, "piece": piece[row, n], "target": first_state + state[row] + n + 1, "logp": np.log(odds)}
+        more = {"begin": self.begin[-1] + np.cumsum(counts), "up_to": up_to, "piece": piece, "target": first_state + target, "logp": np.log(odds)}
         for name, values in more.items():
             self.grown[name].extend(values)
         self._expose()
@@ -313,10 +326,17 @@ def _cut_gumbel(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray
 
 
 def _wait(path: Path, first: int, seed: U64) -> None:
-    """Values of the parts that leave the path at each word from ``first`` on."""
-    before = np.cumsum(path.logp) - path.logp
+    """Values of the parts that leave the path at each word from ``first`` on.
+
+    Parts behind a prefix with a log probability under DEEPEST have no chance to
+    be among the best while others are left, and are not listed.
+    """
+    before = np.cumsum(path.logp)
+    size = int(np.searchsorted(-before, -DEEPEST)) + 1
+    logp = path.logp[:size]
+    before = before[:size] - logp
     with np.errstate(divide="ignore"):
-        rest = np.log(np.maximum(-np.expm1(path.logp), 0))
+        rest = np.log(np.maximum(-np.expm1(logp), 0))
     rest[rest < np.log(LEAST_MASS)] = -np.inf
     with np.errstate(over="ignore"):
         u = _uniform(seed + np.arange(len(before), dtype=U64) * _BASE)
@@ -344,7 +364,7 @@ class Sampler:
             yield from self._sample(keys[a:b], texts[a:b], k)
 
     def _sample(self, keys: list[str], texts: list[str], k: int) -> list[list[tuple[Path, float]]]:
-        split = [[SPACE + w for w in t.replace(SPACE, " ").split(" ")] if t else [] for t in texts]
+        split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         starts = np.cumsum(lengths) - lengths
         states = self.lattices.states([w for ws in split for w in ws])
