@@ -18,7 +18,8 @@ add-one unigram at the end; both terms are kept as 16-bit logarithmic codes.
 Counts cover all training text.  Bigrams and trigrams seen fewer than MIN_COUNT
 times leave their share to the weight.
 
-Every pass pre-aggregates in the worker and ships packed blocks per shard, so a
+Texts are turned into token ids once, as soon as level 1 is there; the passes
+that count and score read the ids.  Every pass pre-aggregates in the worker and ships packed blocks per shard, so a
 frequent n-gram costs one entry for each block, not one for each occurrence.
 """
 
@@ -43,12 +44,14 @@ MIN_COUNT = 2
 DISCOUNT = 0.75
 #: Documents to a shard, on average, and the most shards (as powers of two).
 SHARD_DOCS, MAX_SHARD_BITS = 4096, 14
-#: Entries of a worker's vocabulary cache, characters of a slice, keys of a block.
-CACHE_WORDS, SLICE_CHARS, BLOCK_KEYS = 600_000, 4_000_000, 4_000_000
+#: Entries of a worker's vocabulary cache, characters and tokens of a slice, keys of a block.
+CACHE_WORDS, SLICE_CHARS, SLICE_TOKENS, BLOCK_KEYS = 600_000, 2_000_000, 500_000, 4_000_000
 #: The end of a text; white space, so no word equals it.
 END = b"\n"
 #: Codes cover logarithms from 0 to -CODE_RANGE.
 CODE_RANGE = 10.0
+#: How an unknown token's id is written.
+UNKNOWN = 0xFFFFFFFF
 
 U64 = np.uint64
 
@@ -161,9 +164,7 @@ class Reader:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.weights, self.begins = np.zeros(0), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
 
     def shard(self, level: int, b: int) -> dict:
         first = {"first": self.model.starts[level][b : b + 1]} if level in self.model.starts else {}
@@ -179,12 +180,12 @@ class Reader:
             b = int(shard[order[a]])
             yield self.shard(level + 1, b), order[a:e], index[order[a:e]] - starts[b]
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts."""
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """Ids of words, -1 for unknown ones."""
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        ids = np.full(len(h), -1, np.int64)
         if not self.model.types:
-            return ids, counts
+            return ids
         starts = self.model.starts[1]
         shard = np.searchsorted(self.model.cut, h, side="right")
         order = np.argsort(shard.astype(np.int16), kind="stable")
@@ -195,48 +196,60 @@ class Reader:
             level = self.shard(1, b)
             at = np.minimum(np.searchsorted(level["hash"], h[own]), len(level["hash"]) - 1)
             hit = level["hash"][at] == h[own]
-            ids[own[hit]], counts[own[hit]] = starts[b] + at[hit], level["count"][at[hit]]
-        return ids, counts
+            ids[own[hit]] = starts[b] + at[hit]
+        return ids
 
-    def index(self, words: list[bytes], more: int) -> np.ndarray:
-        """Row of each word in ids and counts; with ``more`` levels also in weights and begins."""
-        if len(self.rows) > CACHE_WORDS:
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > CACHE_WORDS:
             self.clear()
-        new = list(set(words).difference(self.rows))
-        at = len(self.rows)
-        self.rows.update(zip(new, range(at, at + len(new)), strict=True))
-        ids, counts = self.look_up(new)
-        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        if more:
-            weights, begins = np.ones(len(new)), np.zeros(len(new), np.int64)
-            for level, places, local in self.by_shard(1, ids):
-                weights[places] = _DECODED[level["weight"][local]]
-                begins[places] = level["ptr"].access(local) + level["first"][0]
-            self.weights, self.begins = np.concatenate([self.weights, weights]), np.concatenate([self.begins, begins])
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        new = list(set(words).difference(self.known))
+        self.known.update(zip(new, self.look_up(new).tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def tokens(self, ids: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token its count, and with ``more`` its weight as a context and where its successors begin."""
+        some, inverse = np.unique(ids, return_inverse=True)
+        counts, weights, begins = np.zeros(len(some), np.int64), np.ones(len(some)), np.zeros(len(some), np.int64)
+        first = np.searchsorted(some, 0)
+        starts = self.model.starts[1]
+        for a, e in _runs(np.searchsorted(starts, some[first:], side="right")):
+            b = int(np.searchsorted(starts, some[first + a], side="right")) - 1
+            own = slice(first + a, first + e)
+            local = some[own] - starts[b]
+            counts[own] = self.shard(1, b)["count"][local]
+            if more:
+                level = self.shard(2, b)
+                weights[own] = _DECODED[level["weight"][local]]
+                begins[own] = level["ptr"].access(local) + level["first"][0]
+        return counts[inverse], weights[inverse], begins[inverse]
 
     def successors(self, level: int, context: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position (-1: not retained) and discounted probability of ``following`` below ``context``."""
         found, p = np.full(len(context), -1, np.int64), np.zeros(len(context))
-        context = np.where(following >= 0, context, -1)
-        for shard, places, local in self.by_shard(level, context):
-            keys = local.astype(U64) * U64(shard["universe"][0]) + following[places].astype(U64)
+        asked = np.flatnonzero((context >= 0) & (following >= 0))
+        # Each distinct pair once, in order: neighbours lie together in the level.
+        pair, inverse = np.unique((context[asked].astype(U64) << U64(32)) | following[asked].astype(U64), return_inverse=True)
+        at_pair, p_pair = np.full(len(pair), -1, np.int64), np.zeros(len(pair))
+        for shard, places, local in self.by_shard(level, (pair >> U64(32)).astype(np.int64)):
+            keys = local.astype(U64) * U64(shard["universe"][0]) + (pair[places] & U64(0xFFFFFFFF))
             bit = _bit(keys, len(shard["filter"]))
             maybe = np.flatnonzero(shard["filter"][bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             at = shard["succ"].find(keys[maybe])
             hit = np.flatnonzero(at >= 0)
             places, at = places[maybe[hit]], at[hit]
-            found[places] = at + shard["first"][0]
-            p[places] = _DECODED[shard["prob"][at]]
+            at_pair[places] = at + shard["first"][0]
+            p_pair[places] = _DECODED[shard["prob"][at]]
+        found[asked], p[asked] = at_pair[inverse], p_pair[inverse]
         return found, p
 
-    def pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, ids: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token the position of the bigram it ends (-1: none), its place below the token before, and its probability."""
-        ids = self.ids[rows]
-        found, p = np.full(len(rows), -1, np.int64), np.zeros(len(rows))
-        found[1:], p[1:] = self.successors(1, ids[:-1], ids[1:])
-        place = np.full(len(rows), -1, np.int64)
-        place[1:] = np.where(found[1:] >= 0, found[1:] - self.begins[rows[:-1]], -1)
+        found, p = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+        context = ids[:-1].copy()
+        context[starts[starts > 0] - 1] = -1
+        found[1:], p[1:] = self.successors(1, context, ids[1:])
+        place = np.full(len(ids), -1, np.int64)
+        place[1:] = np.where(found[1:] >= 0, found[1:] - begins[:-1], -1)
         return found, place, p
 
 
@@ -251,6 +264,18 @@ def _reader(model: Model) -> Reader:
     return _readers[key]
 
 
+def _id_slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token ids of neighbouring texts (-1: unknown) and where each text starts."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    data = np.frombuffer(column.buffers()[2], np.uint32) if len(column) else np.zeros(0, np.uint32)
+    lengths = np.diff(ends)
+    for a, b in slices(lengths.tolist(), SLICE_TOKENS):
+        ids = data[ends[a] : ends[b]].astype(np.int64)
+        ids[ids == UNKNOWN] = -1
+        yield ids, ends[a:b] - ends[a]
+
+
 def _flat(texts: list[str]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """Slices of texts: first text, all tokens, and the number of tokens of each text."""
     for a, b in slices(map(len, texts), SLICE_CHARS):
@@ -339,17 +364,15 @@ def _count_ngrams(texts: DataFrame, model: Model, level: int) -> None:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, gatherer = _reader(model), Gatherer(bounds)
         for batch in batches:
-            for _, words, lengths in _flat(texts_of(batch.column(0))):
-                rows = reader.index(words, level - 2)
-                first = np.zeros(len(rows), bool)
-                first[np.cumsum(lengths)[:-1]] = first[0] = True
+            for ids, starts in _id_slices(batch.column(0)):
                 if level == 2:
-                    ids = reader.ids[rows].astype(U64)
-                    keys = (ids[:-1] << U64(32)) | ids[1:]
-                    yield from gatherer.add(keys[~first[1:]])
+                    inner = np.ones(len(ids), bool)
+                    inner[starts] = False
+                    keys = (ids[:-1].astype(U64) << U64(32)) | ids[1:].astype(U64)
+                    yield from gatherer.add(keys[inner[1:]])
                 else:
-                    found, place, _ = reader.pairs(rows)
-                    found[first] = place[first] = -1
+                    _, _, begins = reader.tokens(ids, True)
+                    found, place, _ = reader.pairs(ids, begins, starts)
                     both = (found[:-1] >= 0) & (place[1:] >= 0)
                     yield from gatherer.add((found[:-1][both].astype(U64) << U64(32)) | place[1:][both].astype(U64))
         yield from gatherer.flush()
@@ -374,68 +397,82 @@ def _count_ngrams(texts: DataFrame, model: Model, level: int) -> None:
         model.rel = max((r.most for r in found), default=0)
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
-    """Count all texts of ``docs`` and write the model to the shared folder."""
-    bits = min(MAX_SHARD_BITS, max(0, (docs.count() // SHARD_DOCS).bit_length()))
-    model = Model(fresh_path(docs.sparkSession, "ngram"), bits)
-    texts = docs.select(text_col)
-    _count_tokens(texts, model)
-    for level in range(2, order + 1):
-        _count_ngrams(texts, model, level)
-    return model
+def _identified(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The rows with ``ids`` for their text: 32-bit token ids, written to the shared folder."""
+    at = docs.columns.index(text_col)
+    rest = [c for c in docs.columns if c != text_col]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(model)
+        for batch in batches:
+            data = []
+            for _, words, lengths in _flat(texts_of(batch.column(at))):
+                ids = reader.ids(words).astype(np.uint32)
+                data += [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+            others = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(data, pa.binary())], [*rest, "ids"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col]
+    path = fresh_path(docs.sparkSession, "ngram-ids")
+    found = docs.mapInArrow(run, ", ".join([*kinds, "ids binary"]))
+    found.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
+    """Train on the documents whose crc32(id) mod 7 is not 2 and score all: see ``score``."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    learned = F.col("doc_id").isNotNull() & ~F.col("held_out")
+    bits = min(MAX_SHARD_BITS, max(0, (rows.count() // SHARD_DOCS).bit_length()))
+    model = Model(fresh_path(docs.sparkSession, "ngram"), bits)
+    _count_tokens(rows.filter(learned).select("text"), model)
+    rows = _identified(rows, model, "text")
+    for level in range(2, order + 1):
+        _count_ngrams(rows.filter(learned).select("ids"), model, level)
+    return score(rows, model)
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``score`` is the model's log10 probability of the text, ``base_score`` that
-    of the add-one unigram.  A null or empty text is one end token.  Ids may be
-    null (never held out) or repeat; every row is scored by itself.
+    ``rows`` are doc_id, held_out and ids.  ``score`` is the model's log10
+    probability of the text, ``base_score`` that of the add-one unigram.  A null
+    or empty text is one end token.  Ids may be null (never held out, nor
+    learned from) or repeat; every row is scored by itself.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
     order, total, unknown = max(model.starts), model.tokens, model.tokens + model.types + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(model)
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for _, words, lengths in _flat(texts_of(batch.column(2))):
-                rows = reader.index(words, order - 1)
-                starts = np.cumsum(lengths) - lengths
-                counts = reader.counts[rows]
+            for ids, starts in _id_slices(batch.column(2)):
+                counts, weights, begins = reader.tokens(ids, order > 1)
                 p = (counts + 1) / unknown
                 base = np.log10(p)
                 if order > 1 and model.types:
-                    found, place, q = reader.pairs(rows)
-                    found[starts], place[starts], q[starts] = -1, -1, 0
-                    weight = np.ones(len(rows))
-                    weight[1:] = reader.weights[rows[:-1]]
-                    weight[starts] = 1
-                    p = q + weight * p
+                    found, place, q = reader.pairs(ids, begins, starts)
+                    p[1:] *= weights[:-1]
+                    p[starts] = (counts[starts] + 1) / unknown
+                    p += q
                     if order > 2:
-                        context = np.full(len(rows), -1, np.int64)
+                        context = np.full(len(ids), -1, np.int64)
                         context[1:] = found[:-1]
                         context[starts] = -1
                         _, q = reader.successors(2, context, place)
-                        weight = np.ones(len(rows))
                         for level, places, local in reader.by_shard(2, context):
-                            weight[places] = _DECODED[level["weight"][local]]
-                        p = q + weight * p
-                for column, values in zip(out, (lengths, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)), strict=True):
-                    column.append(values)
+                            p[places] *= _DECODED[level["weight"][local]]
+                        p += q
+                columns = np.diff(np.append(starts, len(ids))), (counts > 0).astype(np.int64), base, np.log10(p)
+                for column, values in zip(out, columns, strict=True):
+                    column.append(values if column is out[0] else np.add.reduceat(values, starts))
             n, known, base, logp = (np.concatenate(x) if x else np.zeros(0) for x in out)
             arrays = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(base, pa.float64()), pa.array(logp, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("__held_out"), text_col)
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
-    """Train on the documents whose crc32(id) mod 7 is not 2, score all of them."""
-    learned = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col))
-    return score(docs, train(learned, text_col, order), id_col, text_col)
+    return rows.select("doc_id", "held_out", "ids").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -7,6 +7,7 @@ import pytest
 
 from rowloom.llm import ngram
 from rowloom.llm.elias_fano import Sequence
+from rowloom.llm.scratch import fresh_path
 
 
 @pytest.mark.parametrize(("n", "universe"), [(0, 10), (1, 1), (5, 1000), (1000, 1001), (20_000, 1 << 50)])
@@ -71,17 +72,23 @@ def test_scores(spark):
 
 def test_probabilities_sum_to_one(spark):
     """Over the vocabulary and one unknown word, after one token and after two."""
-    docs = spark.createDataFrame([(i, "a b c a b d a b c b") for i in range(30)], "doc_id long, text string")
-    model = ngram.train(docs)
+    docs = spark.createDataFrame([(i, "a b c a b d a b c b") for i in range(30)], "doc_id long, text string").select("text")
+    model = ngram.Model(fresh_path(spark, "ngram"), 1)
+    ngram._count_tokens(docs, model)
+    rows = ngram._identified(docs, model, "text")
+    for level in (2, 3):
+        ngram._count_ngrams(rows, model, level)
     reader = ngram.Reader(model)
     following = [b"a", b"b", b"c", b"d", b"\n", b"unknown"]
+    start = np.array([0])
     for context in ([b"a"], [b"a", b"b"], [b"b", b"c"]):
         total = 0.0
         for w in following:
-            rows = reader.index([*context, w], 2)
-            p = (reader.counts[rows] + 1) / (model.tokens + model.types + 1)
-            found, place, q = reader.pairs(rows)
-            p[1:] = q[1:] + reader.weights[rows[:-1]] * p[1:]
+            ids = reader.ids([*context, w])
+            counts, weights, begins = reader.tokens(ids, True)
+            p = (counts + 1) / (model.tokens + model.types + 1)
+            found, place, q = reader.pairs(ids, begins, start)
+            p[1:] = q[1:] + weights[:-1] * p[1:]
             if len(context) == 2 and found[1] >= 0:
                 _, q3 = reader.successors(2, found[1:2], place[2:])
                 (level, _, local), *_ = reader.by_shard(2, found[1:2])
