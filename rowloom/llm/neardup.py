@@ -19,9 +19,10 @@ their similarity.
 Candidates.  Texts with equal multisets are one node.  Nodes that agree in a
 band of ROWS components share a bucket; each is first compared with the least
 node of the bucket only.  Where nodes of a bucket are still in different groups
-after that, every node outside the bucket's largest group is compared with its NEAREST
-likeliest nodes there, then with the next ones, four times as many each time,
-until it is in one group with the others or has been compared with all.  Pairs whose signatures agree in less than LIKELY of the components
+after that, every node outside the bucket's largest group is compared with all nodes
+of other groups there, likeliest first, where the bucket is: only links that join
+groups leave the task, so a group of n texts yields fewer than n links and never
+its pairs.  Pairs whose signatures agree in less than LIKELY of the components
 are too far below the threshold to be read.
 
 Every candidate is verified on the exact multisets (48 bits of each shingle's
@@ -46,7 +47,8 @@ BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
 #: Agreement of signatures below which a pair is not read: five deviations under the threshold.
 LIKELY = 0.55
-NEAREST = 3
+#: Candidates compared at once, and nodes to a share of a large bucket.
+NEAREST, SHARE_NODES = 64, 2000
 SALTS = 96
 CACHE_WORDS, SLICE_CHARS = 900_000, 1_000_000
 
@@ -279,25 +281,67 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _across(begin: int, end: int):
-    """In one bucket: for nodes outside the largest group, their likeliest partners of ranks begin to end - 1, where in another group."""
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups after more links: components of the groups, which are far fewer than the nodes."""
+    one, two = (groups.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    between = links.join(one, "a").join(two, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    between = stash(between.filter("a != b").distinct(), "neardup-between")
+    merged = components(groups.select(F.col("label").alias("node")).distinct(), between)
+    return groups.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label").select("node", F.col("least").alias("label"))
 
-    def run(table: pa.Table) -> pa.Table:
-        node, label = table["node"].to_numpy(), table["label"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SIZE)
-        _, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
-        out: list[np.ndarray] = []
-        for i in np.flatnonzero(inverse != counts.argmax()):
-            agree = (sig == sig[i]).mean(axis=1)
-            agree[i] = 0
-            near = np.flatnonzero(agree >= LIKELY)
-            near = near[np.lexsort((node[near], -agree[near]))][begin:end]
-            near = near[inverse[near] != inverse[i]]
-            out.append(np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    return run
+def _keys(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Multisets as sets: a number for each shingle and copy; and where each multiset begins."""
+    ends = np.concatenate([[0], np.cumsum([len(b) // 6 for b in bags])])
+    h = _unpacked(memoryview(b"".join(bags)))
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[ends[:-1][ends[:-1] < len(h)]] = True
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    return (h << U64(16)) + np.minimum(np.arange(len(h)) - first, 65535).astype(U64), ends
+
+
+def _similar(keys: np.ndarray, ends: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of multiset i with others."""
+    own = keys[ends[i] : ends[i + 1]]
+    sizes = ends[others + 1] - ends[others]
+    begin = np.cumsum(sizes) - sizes
+    theirs = keys[np.repeat(ends[others] - begin, sizes) + np.arange(sizes.sum())]
+    at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+    shared = np.add.reduceat((own[at] == theirs).astype(np.int64), begin)
+    return shared / (len(own) + sizes - shared)
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """In one share of a bucket: links between different groups, as few as join what belongs together.
+
+    Nodes outside the bucket's largest group are compared with all nodes of
+    other groups that their signatures do not rule out, in the first band only
+    that two nodes share.
+    """
+    band, share = table["band"][0].as_py(), table["share"][0].as_py()
+    node, large = table["node"].to_numpy(), table["large"].to_numpy()
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SIZE)
+    bands = np.concatenate([c.flatten().to_numpy() for c in table["bands"].chunks]).reshape(-1, BANDS)
+    _, group = np.unique(table["label"].to_numpy(), return_inverse=True)
+    keys, ends = _keys(table["bag"].to_pylist())
+    size = np.diff(ends)
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(~large):
+        near = np.flatnonzero((group != group[i]) & (np.minimum(size, size[i]) >= THRESHOLD * np.maximum(size, size[i])))
+        if share:
+            near = near[large[near]]
+        near = near[(bands[near, :band] == bands[i, :band]).sum(axis=1) == 0]
+        agree = (sig[near] == sig[i]).mean(axis=1)
+        near = near[agree >= LIKELY][np.argsort(-agree[agree >= LIKELY], kind="stable")]
+        while len(near):
+            some, near = near[:NEAREST], near[NEAREST:]
+            for k in some[_similar(keys, ends, i, some) >= THRESHOLD]:
+                if group[k] != group[i]:
+                    out.append((min(node[i], node[k]), max(node[i], node[k])))
+                    group[group == group[k]] = group[i]
+            near = near[group[near] != group[i]]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,21 +374,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Documents with equal multisets are linked to their node.
     links = stash(_verified(pairs, bags), "neardup-links")
-    tested, begin, end = pairs, 0, NEAREST
-    while True:
-        groups = stash(components(single.select("node"), links), "neardup-groups")
-        placed = alive.join(groups, "node")
-        counted = placed.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"))
-        mixed = stash(counted.filter("x != y").select("band", "h", "n"), "neardup-mixed")
-        most = mixed.agg(F.max("n")).collect()[0][0] or 0
-        if begin >= most:
-            break
-        open_rows = placed.join(mixed, ["band", "h"], "left_semi").join(single.select("node", "sig"), "node")
-        more = open_rows.groupBy("band", "h").applyInArrow(_across(begin, end), "a long, b long").distinct()
-        more = stash(_agreeing(more.join(tested, ["a", "b"], "left_anti"), single), "neardup-pairs")
-        tested = tested.unionByName(more)
-        links = links.unionByName(stash(_verified(more, bags), "neardup-links"))
-        begin, end = end, end * 4
+    groups = stash(components(single.select("node"), links), "neardup-groups")
+    placed = alive.join(groups, "node")
+    sizes = placed.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band", "h").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    mixed = mixed.filter("groups > 1").select("band", "h", F.col("top.label").alias("top"), F.ceil(F.col("n") / SHARE_NODES).cast("int").alias("shares"))
+    # A large bucket is dealt into shares: its largest group by hash, the others to each.
+    large = F.col("label") == F.col("top")
+    shares = F.when(large, F.array(F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("shares") - 1))
+    open_rows = placed.join(mixed, ["band", "h"]).select("band", "h", "node", "label", large.alias("large"), F.explode(shares).alias("share"))
+    open_rows = open_rows.join(single.select("node", "sig", "bands"), "node").join(bags, "node")
+    more = stash(open_rows.groupBy("band", "h", "share").applyInArrow(_across, "a long, b long"), "neardup-links")
+    if not more.isEmpty():
+        groups = stash(_joined(groups, more), "neardup-groups")
 
     placed = member.select("doc_id", "node").join(groups, "node").groupBy("doc_id").agg(F.min("label").alias("class_id"))
     rows = docs.select(F.col(id_col).alias("doc_id"))
