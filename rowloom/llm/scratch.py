@@ -8,8 +8,10 @@ that is running.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,22 @@ def drop(spark: SparkSession, path: str) -> None:
     _live[:] = [x for x in _live if x[1] != path]
 
 
+def result_only(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions with narrow results: write the result, then delete what was stashed on the way."""
+
+    @functools.wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        before = {path for _, path in _live}
+        out = stash(make(*args, **kwargs), make.__name__)
+        kept = _live[-1][1]
+        for spark, path in list(_live):
+            if path not in before and path != kept:
+                drop(spark, path)
+        return out
+
+    return run
+
+
 def release_all() -> None:
     """Delete every stashed folder; call it once earlier results are consumed."""
     for spark, path in list(_live):
