@@ -25,6 +25,7 @@ key and text alone.
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -41,7 +42,7 @@ RANK_SHIFT = 8.0
 BYTES_RANK = 1_000_000.0
 LONGEST = 16
 SPACE = "▁"
-CACHE_WORDS, SLICE_CHARS, LONG_WORD = 350_000, 500_000, 40
+CACHE_WORDS, SLICE_CHARS, LONG_WORD = 450_000, 500_000, 40
 TABLE_BITS = 20
 #: What is left of a word beside its first draw counts as nothing below this probability.
 LEAST_MASS = 1e-14
@@ -139,7 +140,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        kinds = {"begin": np.int64, "up_to": np.float64, "piece": np.int32, "target": np.int64, "logp": np.float64}
+        kinds = {"begin": np.int64, "up_to": np.float64, "piece": np.int32, "target": np.int32, "logp": np.float64}
         self.grown = {name: _Grown(np.zeros(int(name == "begin"), kind)) for name, kind in kinds.items()}
         self._expose()
 
@@ -251,7 +252,7 @@ class Lattices:
     def _steps(self, state: int) -> list[tuple[int, float, int]]:
         """Steps of a state: piece, probability, target."""
         span = slice(int(self.begin[state]), int(self.begin[state + 1]))
-        return list(zip(self.piece[span].tolist(), np.exp(self.logp[span]).tolist(), self.target[span].tolist(), strict=True))
+        return list(zip(self.piece[span].tolist(), map(math.exp, self.logp[span].tolist()), self.target[span].tolist(), strict=True))
 
     def _tree(self, state: int, drawn: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[float]]:
         """Tree of the drawn ways: children by piece, and the probability of all other ways below each node."""
@@ -293,7 +294,7 @@ class Lattices:
             piece, p, state = steps[chosen]
             node = below.get(piece, -1)
             way.append(piece)
-            logp += float(np.log(p))
+            logp += math.log(p)
         return tuple(way), logp
 
 
@@ -308,11 +309,13 @@ class Path:
 
 
 def iter_uniform(seed: int) -> Iterator[float]:
-    at = np.array([seed], U64)
+    """Uniform numbers for single draws, without arrays."""
+    mask = 0xFFFFFFFFFFFFFFFF
     while True:
-        with np.errstate(over="ignore"):
-            at = mix(at + _STEP)
-        yield float(_uniform(at)[0])
+        seed = (seed + 0x9E3779B97F4A7C15) & mask
+        x = ((seed ^ (seed >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        yield (((x ^ (x >> 31)) >> 11) + 0.5) * 2.0**-53
 
 
 def _uniform(seed: np.ndarray) -> np.ndarray:
@@ -375,9 +378,9 @@ class Sampler:
             drawn = self.lattices.draw(states, word_seed)
             found: list[list[Path]] = []
             at = np.concatenate([[0], np.cumsum(drawn[1])])
+            roots = -np.log(-np.log(_uniform(seeds + U64(7))))
             for d, (s, n) in enumerate(zip(starts, lengths, strict=True)):
-                root = float(-np.log(-np.log(_uniform(seeds[d : d + 1] + U64(7))[0])))
-                path = Path(drawn[0][at[s] : at[s + n]], drawn[1][s : s + n], drawn[2][s : s + n], root)
+                path = Path(drawn[0][at[s] : at[s + n]], drawn[1][s : s + n], drawn[2][s : s + n], float(roots[d]))
                 _wait(path, 0, seeds[d] + U64(11))
                 found.append([path])
             for r in range(1, k):
@@ -404,7 +407,7 @@ class Sampler:
             here = tuple(parent.pieces[cut : cut + int(parent.count[t])].tolist())
             drawn = parent.drawn.setdefault(t, [here])
             # Only what was not drawn here before belongs to the part.
-            own, own_logp = self.lattices.draw_other(int(states[rows[f]]), drawn, iter_uniform(int(seeds[d])))
+            own, own_logp = self.lattices.draw_other(int(states[rows[f]]), drawn, uniform := iter_uniform(int(seeds[d])))
             drawn.append(own)
             path = Path(
                 np.concatenate([parent.pieces[:cut], np.array(own, np.int64), pieces[at[f + 1] : at[f + n]]]),
@@ -416,7 +419,7 @@ class Sampler:
             found[d].append(path)
             rest = self.lattices.rest(int(states[rows[f]]), drawn)
             location = np.array([float(parent.logp[:t].sum()) + (np.log(rest) if rest > 0 else -np.inf)])
-            parent.waiting[t] = _cut_gumbel(location, value, _uniform(seeds[d : d + 1] + U64(13)))[0]
+            parent.waiting[t] = _cut_gumbel(location, value, np.array([next(uniform)]))[0]
 
     def _scored(self, paths: list[Path]) -> list[tuple[Path, float]]:
         kappa = _best(paths)[0]
