@@ -20,13 +20,15 @@ from rowloom.errors import EngineError
 from rowloom.operators.background import Rebuilds
 from rowloom.operators.query import Query
 from rowloom.plans import indexes
-from rowloom.plans.filters import conjunction
+from rowloom.plans.filters import Filter, conjunction, make_filter
 from rowloom.schema import POS, Column, Schema, check_column, check_count, check_numeric, check_patch, check_row, check_row_index, check_schema, spark_schema
 from rowloom.sources import frames, snapshot, versions
 
 CAPACITY = 1024
 #: Frames that may be joined to a version before it is written anew.
 MOST_PARTS = 8
+#: A cached table of fewer rows stays in the partitions it has.
+ROWS_PER_CORE = 10_000
 
 
 class Table:
@@ -83,8 +85,11 @@ class Table:
         return dict(self.schema)
 
     def cache(self) -> Table:
-        """Keep the current version in executor memory."""
-        self._base = self.frame().cache()
+        """Keep the current version in executor memory, in ranges of places for all cores."""
+        df = self.frame()
+        if self.row_count > ROWS_PER_CORE:
+            df = df.repartitionByRange(self.spark.sparkContext.defaultParallelism, POS).sortWithinPartitions(POS)
+        self._base = df.cache()
         self._base.count()
         return self
 
@@ -500,6 +505,43 @@ class Table:
     def debug_index_diagnostics(self) -> list[dict[str, Any]]:
         return [i.snapshot() for i in self.registry.all()]
 
+    def get_index_debug_plan(self, filters: tuple[Filter, ...]) -> dict[str, Any]:
+        """The planner's view of filters; unstable."""
+        return indexes.plan(self.registry, tuple(filters), self.row_count)
+
+    def get_indexed_candidate_plan(self, filters: tuple[Filter, ...]) -> dict[str, Any] | None:
+        """The plan of an index that would be used, with the places of its candidates as a lazy frame; else None."""
+        plan = self.get_index_debug_plan(filters)
+        if plan["mode"] != "index" or plan["indexState"] != "fresh":
+            return None
+        kind, name = plan["source"], plan["column"]
+        served = [f for f in filters if f.column == name and self.registry.by_kind[kind][name].estimate(f) == plan["candidateRows"]]
+        return plan | {"operator": served[0].op, "places": self.frame().filter(served[0].to_column()).select(POS)}
+
+    def create_filter(self, name: str, op: str, value: Any) -> Filter:
+        return make_filter(self.schema, name, op, value)
+
+    def matches_filter(self, row_index: int, made: Filter) -> bool:
+        place = self._place_of_row(check_row_index(row_index, self.row_count))
+        return not self.frame().filter((F.col(POS) == place) & made.to_column()).isEmpty()
+
+    def materialize_row(self, row_index: int, columns: list[str] | None = None) -> dict[str, Any]:
+        row = self.get(row_index)
+        return row if columns is None else {c: row[c] for c in columns}
+
+    def has_query_hook(self) -> bool:
+        return self.on_query is not None
+
+    def notify_query(self, info: dict[str, Any]) -> None:
+        if self.on_query:
+            self.on_query(info)
+
+    def record_row_scan(self) -> None:
+        self.scanned_row_count += 1
+
+    def record_row_scans(self, count: int) -> None:
+        self.scanned_row_count += count
+
     def reset_scan_counter(self) -> None:
         self.scanned_row_count = 0
 

@@ -132,3 +132,17 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = t.where("age", ">", 50).select(["id"]).frame()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(age,50)" in plan and "score" not in plan.split("ReadSchema")[1]
     assert t.to_array() == users(80) and list(t.schema) == list(USERS)
+
+
+def test_low_level_surface(spark):
+    t = make(spark).create_index("status")
+    made = t.create_filter("status", "=", "archived")
+    assert t.matches_filter(2, made) and not t.matches_filter(0, made)
+    plan = t.get_indexed_candidate_plan((made,))
+    assert plan["candidateRows"] == plan["places"].count() == 26 and plan["operator"] == "="
+    assert t.get_index_debug_plan(())["reasonCode"] == "NO_PREDICATES" and t.get_indexed_candidate_plan(()) is None
+    assert t.materialize_row(1, ["id"]) == {"id": 1} and not t.has_query_hook()
+    before = t.scanned_row_count
+    t.record_row_scan()
+    t.record_row_scans(4)
+    assert t.scannedRowCount == before + 5
