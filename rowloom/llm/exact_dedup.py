@@ -92,6 +92,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that ``exact_dedup`` keeps, with all their columns."""
-    dropped = exact_dedup(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("__dropped")), "left_anti")
+    """The documents that ``exact_dedup`` keeps, with all their columns.
+
+    Documents are named by their id: rows of one id go or stay together, and
+    rows with a null id stay.
+    """
+    dropped = exact_dedup(docs, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")

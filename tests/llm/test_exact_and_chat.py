@@ -32,9 +32,9 @@ def test_exact_dedup(spark, all_digests):
 
 
 def test_exact_dedup_keeps_columns(spark):
-    rows = [(1, "a b"), (2, "a  b"), (3, None), (4, "")]
+    rows = [(1, "a b"), (2, "a  b"), (3, None), (4, ""), (None, "a b"), (None, "alone")]
     kept = exact_dedup.kept_documents(docs(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "size", "keep"]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 3, None, None] and kept.columns == ["doc_id", "text", "size", "keep"]
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
