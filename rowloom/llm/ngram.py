@@ -54,6 +54,9 @@ CODE_RANGE = 10.0
 UNKNOWN = 0xFFFFFFFF
 
 U64 = np.uint64
+#: Multiplying by one spreads n-grams over all 64-bit numbers, by the other takes that back.
+_SPREAD = U64(0x9E3779B97F4A7C15)
+_GATHER = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def encode_log(p: np.ndarray) -> np.ndarray:
@@ -336,63 +339,70 @@ def _filter(keys: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-def _write_level(model: Model, level: int, shard: int, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray | None, universe: int) -> tuple[int, int]:
+def _write_level(model: Model, level: int, shard: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
     """Write the retained n-grams below the shard's contexts; their number and the most below one context."""
     start, end = model.starts[level - 1][shard : shard + 2]
-    context = ((keys >> U64(32)).astype(np.int64) - start)[: len(keys)]
-    contexts = int(end - start)
-    if totals is None:
-        totals = np.bincount(context, counts, contexts)
-    keep = counts >= MIN_COUNT
-    context, follow, counts = context[keep], (keys[keep] & U64(0xFFFFFFFF)), counts[keep]
+    contexts, universe = int(end - start), model.types if level == 2 else model.rel + 1
+    context, follow = (keys >> U64(32)).astype(np.int64) - start, keys & U64(0xFFFFFFFF)
+    # All that followed a context, retained or not: as often as the context itself occurred.
+    totals = store.read(f"{model.folder}/{level - 1}-{shard:05d}")["count"].astype(np.float64)
     p = (counts - DISCOUNT) / totals[context]
     sizes = np.bincount(context, minlength=contexts)
     weight = 1 - np.bincount(context, p, contexts)
-    pointers = np.concatenate([[0], np.cumsum(sizes)])
-    parts = {"prob": encode_log(p), "weight": encode_log(np.maximum(weight, 1e-10)), "universe": np.array([universe], np.int64), "counts": counts.astype(np.uint32)}
     keys = context.astype(U64) * U64(universe) + follow
-    parts |= {"filter": _filter(keys)} | {f"succ.{k}": v for k, v in Sequence.build(keys, contexts * universe).items()}
-    parts |= {f"ptr.{k}": v for k, v in Sequence.build(pointers, len(follow) + 1).items()}
+    parts = {"prob": encode_log(p), "weight": encode_log(np.maximum(weight, 1e-10)), "universe": np.array([universe], np.int64), "count": counts.astype(np.uint32), "filter": _filter(keys)}
+    parts |= {f"succ.{k}": v for k, v in Sequence.build(keys, contexts * universe).items()}
+    parts |= {f"ptr.{k}": v for k, v in Sequence.build(np.concatenate([[0], np.cumsum(sizes)]), len(follow) + 1).items()}
     store.write(f"{model.folder}/{level}-{shard:05d}", parts)
     return len(follow), int(sizes.max(initial=0))
 
 
 def _count_ngrams(texts: DataFrame, model: Model, level: int) -> None:
+    """Count and write one level.
+
+    Counts are summed by a hash of the whole n-gram, so that a frequent context
+    is dealt over all shards; only what is retained goes on to its context.
+    """
     bounds = model.bounds(level - 1)
-    universe = model.types if level == 2 else model.rel + 1
+    even = np.append(model.cut, np.iinfo(U64).max)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, gatherer = _reader(model), Gatherer(bounds)
+        reader, gatherer = _reader(model), Gatherer(even)
         for batch in batches:
             for ids, starts in _id_slices(batch.column(0)):
                 if level == 2:
                     inner = np.ones(len(ids), bool)
                     inner[starts] = False
-                    keys = (ids[:-1].astype(U64) << U64(32)) | ids[1:].astype(U64)
-                    yield from gatherer.add(keys[inner[1:]])
+                    keys = ((ids[:-1].astype(U64) << U64(32)) | ids[1:].astype(U64))[inner[1:]]
                 else:
                     _, _, begins = reader.tokens(ids, True)
                     found, place, _ = reader.pairs(ids, begins, starts)
                     both = (found[:-1] >= 0) & (place[1:] >= 0)
-                    yield from gatherer.add((found[:-1][both].astype(U64) << U64(32)) | place[1:][both].astype(U64))
+                    keys = (found[:-1][both].astype(U64) << U64(32)) | place[1:][both].astype(U64)
+                with np.errstate(over="ignore"):
+                    yield from gatherer.add(keys * _SPREAD)
         yield from gatherer.flush()
 
+    def retain(table: pa.Table) -> pa.Table:
+        keys, counts = _unblocked(table)
+        keep = counts >= MIN_COUNT
+        with np.errstate(over="ignore"):
+            keys = keys[keep] * _GATHER
+        return pa.Table.from_batches([_blocks(*_summed(keys, counts[keep]), bounds)])
+
     def reduce(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        totals = None if level == 2 else store.read(f"{model.folder}/{level - 1}-{shard:05d}")["counts"].astype(np.float64)
-        size, most = _write_level(model, level, shard, *_unblocked(table), totals, universe)
+        size, most = _write_level(model, level, shard, *_unblocked(table))
         return _result(shard, size, 0, most)
 
-    found = _grouped(texts.mapInArrow(run, "shard long, block binary"), reduce)
+    blocks = texts.mapInArrow(run, "shard long, block binary")
+    found = _grouped(blocks.groupBy("shard").applyInArrow(retain, "shard long, block binary"), reduce)
     model.set_level(level, {r.shard: r.size for r in found})
     # A shard without n-grams still has contexts: they keep all weight.
     present = {r.shard for r in found}
     for b in range(1 << model.bits):
-        if b in present or model.starts[level - 1][b] == model.starts[level - 1][b + 1]:
-            continue
-        none = np.zeros(0, np.int64)
-        contexts = int(model.starts[level - 1][b + 1] - model.starts[level - 1][b])
-        _write_level(model, level, b, none.astype(U64), none, np.ones(contexts), universe)
+        if b not in present and model.starts[level - 1][b] < model.starts[level - 1][b + 1]:
+            _write_level(model, level, b, np.zeros(0, U64), np.zeros(0, np.int64))
     if level == 2:
         model.rel = max((r.most for r in found), default=0)
 
