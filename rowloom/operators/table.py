@@ -36,7 +36,8 @@ class Table:
         self.spark, self.schema = spark, check_schema(schema)
         self.capacity = check_count(capacity, "INVALID_LIMIT", 1)
         self.on_query = on_query
-        self.row_count = self.version = self._next = 0
+        self._rows: int | None = 0
+        self.version = self._next = 0
         self.registry = indexes.Registry(self.schema)
         self.scanned_row_count = self.materialized_row_count = 0
         self._base: DataFrame | None = None
@@ -71,12 +72,28 @@ class Table:
         return cls(spark, schema, **options)._load(df, check, dense=len(df.inputFiles()) <= 1)
 
     def _load(self, df: DataFrame, check: bool, dense: bool) -> Table:
-        rows = frames.check_frame(df, self.schema) if check else df.count()
-        self._base, self.row_count, self._dense = frames.conform(df, self.schema), rows, dense
-        self._next = rows if dense else 1 << 62
-        self._grow(rows)
+        """Take over a frame with places; unchecked rows are counted when their number is first asked for."""
+        self._rows = frames.check_frame(df, self.schema) if check else None
+        self._base, self._dense = frames.conform(df, self.schema), dense
+        if check:
+            self._counted()
         return self
 
+    def _counted(self) -> None:
+        self._next = self._rows if self._dense else 1 << 62
+        self._grow(self._rows)
+
+    @property
+    def row_count(self) -> int:
+        if self._rows is None:
+            self._rows = self._base.count()
+            self._counted()
+        return self._rows
+
+    @row_count.setter
+    def row_count(self, rows: int) -> None:
+        self._rows = rows
+
     def _grow(self, rows: int) -> None:
         while self.capacity < rows:
             self.capacity *= 2
@@ -144,11 +161,12 @@ class Table:
         return self._append(checked) if checked else self
 
     def _append(self, rows: list[dict[str, Any]]) -> Table:
+        more = self.row_count + len(rows)
         for row in rows:
             self._waiting.append(row | {POS: self._next})
             self._next += 1
-        self.row_count += len(rows)
-        self._grow(self.row_count)
+        self.row_count = more
+        self._grow(more)
         self.version += 1
         self.registry.after_insert(rows)
         return self
@@ -156,13 +174,13 @@ class Table:
     def insert_frame(self, df: DataFrame, order_by: list[str]) -> Table:
         """Insert the rows of a DataFrame, all or none, in the order of some columns."""
         ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn(POS, F.monotonically_increasing_id())
-        more = versions.settle(ordered, versions.PART_ROWS * 8)
+        more, before = versions.settle(ordered, versions.PART_ROWS * 8), self.row_count
         rows = frames.check_frame(more, self.schema)
         more = frames.conform(more, self.schema).withColumn(POS, F.col(POS) + F.lit(self._next))
         for index in self.registry.all("unique"):
             keys = self.frame().select(index.column).unionByName(more.select(index.column))
-            indexes.histogram(keys, index.column, self.row_count + rows, True)
-        self._replace(self.frame().unionByName(more), self.row_count + rows)
+            indexes.histogram(keys, index.column, before + rows, True)
+        self._replace(self.frame().unionByName(more), before + rows)
         self._next, self._dense = self._next + (1 << 53), False
         self._grow(self.row_count)
         self.registry.after_insert(None)
@@ -553,6 +571,7 @@ class Table:
     def serialize(self, magic: bytes = snapshot.MAGIC) -> bytes:
         """The rows as one binary snapshot on the driver; ``save`` is for large tables."""
         rows = self.frame().orderBy(POS).select(*self.schema).toArrow()
+        self._grow(self.row_count)
         return snapshot.encode(self.schema, rows, self.capacity, magic)
 
     @classmethod
