@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.arrow import slices, texts_of
+from rowloom.llm.workers import held
 
 #: Bound of the sample for each language: documents, and characters of each.
 DOCS_PER_LANG = 48
 CHARS_PER_DOC = 1024
 #: Words that a worker remembers; a full memory is emptied.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 CACHED_CHARS = 100
 SLICE_CHARS = 1_000_000
 UNDETERMINED = "und"
@@ -148,15 +149,9 @@ class Identifier:
         return langs, scores
 
 
-_identifiers: dict[str, Identifier] = {}
-
-
 def _worker(samples: dict[str, str]) -> Identifier:
     key = hashlib.sha256(repr(samples).encode()).hexdigest()
-    if key not in _identifiers:
-        _identifiers.clear()
-        _identifiers[key] = Identifier(samples)
-    return _identifiers[key]
+    return held(("langid", key), lambda: Identifier(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

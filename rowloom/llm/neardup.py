@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.arrow import slices, texts_of
 from rowloom.llm.scratch import result_only, stash
+from rowloom.llm.workers import held
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -48,7 +49,7 @@ SIZE = BANDS * ROWS
 #: Agreement of signatures below which a pair is not read: five deviations under the threshold.
 LIKELY = 0.55
 #: Candidates compared at once, and nodes to a share of a large bucket.
-NEAREST, SHARE_NODES = 64, 2000
+NEAREST, SHARE_NODES = 64, 500
 SALTS = 96
 CACHE_WORDS, SLICE_CHARS = 900_000, 1_000_000
 
@@ -145,12 +146,7 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def _worker_bags() -> Bags:
-    global _bags
-    try:
-        return _bags
-    except NameError:
-        _bags = Bags()
-        return _bags
+    return held("neardup", Bags)
 
 
 def _sums(owner: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:

@@ -39,6 +39,7 @@ from rowloom.llm import store
 from rowloom.llm.arrow import slices, texts_of
 from rowloom.llm.elias_fano import Sequence
 from rowloom.llm.scratch import fresh_path
+from rowloom.llm.workers import held
 
 MIN_COUNT = 2
 DISCOUNT = 0.75
@@ -256,15 +257,8 @@ class Reader:
         return found, place, p
 
 
-_readers: dict[str, Reader] = {}
-
-
 def _reader(model: Model) -> Reader:
-    key = f"{model.folder} {sorted(model.starts)}"
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(model)
-    return _readers[key]
+    return held(("ngram", model.folder, *sorted(model.starts)), lambda: Reader(model))
 
 
 def _id_slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

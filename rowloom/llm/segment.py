@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 
 from rowloom.llm.arrow import slices, texts_of
 from rowloom.llm.neardup import mix
+from rowloom.llm.workers import held
 
 RANK_SHIFT = 8.0
 #: Rank of a character spelled in bytes.
@@ -444,9 +445,8 @@ def decode(ids: Iterable[int], path: str) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-@functools.cache
 def _worker(path: str) -> Sampler:
-    return Sampler(path)
+    return held(("segment", path), lambda: Sampler(path))
 
 
 def sample_segmentations(docs: DataFrame, path: str, k: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,6 +42,7 @@ from rowloom.llm import store
 from rowloom.llm.arrow import slices
 from rowloom.llm.neardup import mix
 from rowloom.llm.scratch import fresh_path
+from rowloom.llm.workers import held
 
 #: Length of a repeated string, and of the leading bytes of an anchor.
 SPAN, LEAD = 50, 20
@@ -175,6 +176,7 @@ def _first_pass(docs: DataFrame, folder: str, bits: int, id_at: int, text_at: in
     """Write the blocks; rows (bucket, block, lead, context, doc, number, place) of packed anchors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("suffixes", dict)
         made = 0
         for batch in batches:
             sizes = batch.column(text_at).cast(pa.binary())

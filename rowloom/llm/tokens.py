@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from rowloom.llm.arrow import slices, texts_of
+from rowloom.llm.workers import held
 
 #: Entries of a worker's cache; a full cache is emptied, so memory is bounded.
 CACHE_ENTRIES = 900_000
@@ -169,9 +170,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-@functools.cache
 def _worker_counter(path: str) -> Counter:
-    return Counter(path)
+    return held(("count", path), lambda: Counter(path))
 
 
 # The word pre-tokenizer's pattern, for text in lower case.
@@ -236,6 +236,5 @@ def _control(text: str) -> bool:
     return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
 
 
-@functools.cache
 def worker_encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encode", path), lambda: Encoder(path))
