@@ -43,7 +43,7 @@ RANK_SHIFT = 8.0
 BYTES_RANK = 1_000_000.0
 LONGEST = 16
 SPACE = "▁"
-CACHE_WORDS, SLICE_CHARS, LONG_WORD = 450_000, 500_000, 40
+CACHE_WORDS, SLICE_CHARS, LONG_WORD = 450_000, 1_000_000, 40
 TABLE_BITS = 20
 #: What is left of a word beside its first draw counts as nothing below this probability.
 LEAST_MASS = 1e-14
@@ -137,12 +137,15 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
+        kinds = {"begin": np.int64, "up_to": np.float64, "piece": np.int32, "target": np.int32, "logp": np.float64}
+        self.grown = {name: _Grown(np.zeros(1 << 16, kind)) for name, kind in kinds.items()}
         self.clear()
 
     def clear(self) -> None:
+        """Forget all words; the arrays' room stays."""
         self.words: dict[str, int] = {}
-        kinds = {"begin": np.int64, "up_to": np.float64, "piece": np.int32, "target": np.int32, "logp": np.float64}
-        self.grown = {name: _Grown(np.zeros(int(name == "begin"), kind)) for name, kind in kinds.items()}
+        for name, g in self.grown.items():
+            g.size = int(name == "begin")
         self._expose()
 
     def _expose(self) -> None:
@@ -198,7 +201,7 @@ class Lattices:
         # Mass of all ways from a state to the end, from the end back.
         mass = np.zeros(len(text) + len(words))
         mass[ends + np.arange(len(words))] = 1
-        order = np.argsort(left[at].astype(np.int32), kind="stable")
+        order = np.argsort(left[at].astype(np.uint8 if len(words) > 1 else np.int64), kind="stable")
         edges = np.flatnonzero(np.diff(left[at[order]], prepend=0))
         odds = np.empty(len(at))
         for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
@@ -418,7 +421,9 @@ class Sampler:
             )
             _wait(path, t + 1, seeds[d] + U64(11))
             found[d].append(path)
-            rest = self.lattices.rest(int(states[rows[f]]), drawn)
+            rest = 1 - math.exp(parent.logp[t]) - math.exp(own_logp) if len(drawn) == 2 else 0.0
+            if rest < 0.01:
+                rest = self.lattices.rest(int(states[rows[f]]), drawn)
             location = np.array([float(parent.logp[:t].sum()) + (np.log(rest) if rest > 0 else -np.inf)])
             parent.waiting[t] = _cut_gumbel(location, value, np.array([next(uniform)]))[0]
 
