@@ -30,7 +30,7 @@ from rowloom.llm.workers import held
 DOCS_PER_LANG = 48
 CHARS_PER_DOC = 1024
 #: Words that a worker remembers; a full memory is emptied.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 CACHED_CHARS = 100
 SLICE_CHARS = 1_000_000
 UNDETERMINED = "und"

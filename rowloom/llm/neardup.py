@@ -51,7 +51,7 @@ LIKELY = 0.55
 #: Candidates compared at once, and nodes to a share of a large bucket.
 NEAREST, SHARE_NODES = 64, 500
 SALTS = 96
-CACHE_WORDS, SLICE_CHARS = 900_000, 1_000_000
+CACHE_WORDS, SLICE_CHARS = 400_000, 1_000_000
 
 U64 = np.uint64
 _BASE = U64(0x9FB21C651E98DF25)

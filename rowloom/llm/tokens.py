@@ -23,7 +23,7 @@ from rowloom.llm.arrow import slices, texts_of
 from rowloom.llm.workers import held
 
 #: Entries of a worker's cache; a full cache is emptied, so memory is bounded.
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 500_000
 #: Characters of text split into words at once.
 SLICE_CHARS = 1_000_000
 

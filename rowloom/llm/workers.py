@@ -2,19 +2,31 @@
 
 Spark keeps worker processes between stages.  An operator's caches and models
 are worth keeping while its tasks go on, but not beside those of the next
-operator, so a process holds one of them only.
+operator, so a process holds one of them only.  Large blocks of arrays and Arrow
+batches come from the system one by one and go back to it as soon as they are
+free, not into pools that keep them.
 """
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import gc
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 _held: dict[object, object] = {}
+#: glibc's number of the setting, and the size from which a block is one of its own.
+_MMAP_THRESHOLD, _LARGE = -3, 2 << 20
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(_MMAP_THRESHOLD, _LARGE)
+    pa.set_memory_pool(pa.system_memory_pool())
+except (OSError, AttributeError):
+    _libc = None
 
 
 def held(key: object, make: Callable[[], T]) -> T:
@@ -22,7 +34,7 @@ def held(key: object, make: Callable[[], T]) -> T:
     if key not in _held:
         _held.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        if _libc is not None:
+            _libc.malloc_trim(0)
         _held[key] = make()
     return _held[key]
