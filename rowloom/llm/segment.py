@@ -43,7 +43,7 @@ RANK_SHIFT = 8.0
 BYTES_RANK = 1_000_000.0
 LONGEST = 16
 SPACE = "▁"
-CACHE_WORDS, SLICE_CHARS, LONG_WORD = 450_000, 1_000_000, 40
+CACHE_WORDS, SLICE_CHARS, LONG_WORD = 300_000, 1_000_000, 40
 TABLE_BITS = 20
 #: What is left of a word beside its first draw counts as nothing below this probability.
 LEAST_MASS = 1e-14
@@ -53,6 +53,12 @@ U64 = np.uint64
 _BASE, _STEP = U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
 
+#: One step of a lattice, together in memory.
+_STEP_RECORD = np.dtype([("up_to", "f8"), ("logp", "f8"), ("piece", "i4"), ("target", "i4")])
+#: Words drawn at once.
+CHUNK = 1 << 14
+
+
 class Vocabulary:
     """Pieces of a model file by hash, with their weights."""
 
@@ -137,8 +143,7 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        kinds = {"begin": np.int64, "up_to": np.float64, "piece": np.int32, "target": np.int32, "logp": np.float64}
-        self.grown = {name: _Grown(np.zeros(1 << 16, kind)) for name, kind in kinds.items()}
+        self.grown = {"begin": _Grown(np.zeros(1 << 16, np.int64)), "step": _Grown(np.zeros(1 << 16, _STEP_RECORD))}
         self.clear()
 
     def clear(self) -> None:
@@ -149,8 +154,9 @@ class Lattices:
         self._expose()
 
     def _expose(self) -> None:
-        for name, g in self.grown.items():
-            setattr(self, name, g.room[: g.size])
+        begin, step = self.grown["begin"], self.grown["step"]
+        self.begin, records = begin.room[: begin.size], step.room[: step.size]
+        self.up_to, self.logp, self.piece, self.target = (records[name] for name in _STEP_RECORD.names)
 
     def states(self, words: list[str]) -> np.ndarray:
         """First state of each word; the space before it belongs to the lattice."""
@@ -221,13 +227,21 @@ class Lattices:
         up_to -= np.repeat(up_to[start] - odds[start], np.diff(np.append(start, len(source))))
         up_to[np.append(start[1:] - 1, len(source) - 1)] = 2
         self.words.update(zip(words, (first_state + ends - lengths + np.arange(len(words))).tolist(), strict=True))
-        more = {"begin": self.begin[-1] + np.cumsum(counts), "up_to": up_to, "piece": piece, "target": first_state + target, "logp": np.log(odds)}
-        for name, values in more.items():
-            self.grown[name].extend(values)
+        step = np.empty(len(at), _STEP_RECORD)
+        step["up_to"], step["logp"], step["piece"], step["target"] = up_to, np.log(odds), piece, first_state + target
+        self.grown["begin"].extend(self.begin[-1] + np.cumsum(counts))
+        self.grown["step"].extend(step)
         self._expose()
 
     def draw(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A path for each word: pieces of all, pieces per word, and log probability."""
+        """A path for each word: pieces of all, pieces per word, and log probability.
+
+        In chunks whose steps stay in the processor's cache.
+        """
+        parts = [self._draw(states[a : a + CHUNK], seeds[a : a + CHUNK]) for a in range(0, max(len(states), 1), CHUNK)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _draw(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         logp, count = np.zeros(len(states)), np.zeros(len(states), np.int64)
         token, at, seed = np.arange(len(states)), states, seeds
         steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -247,7 +261,7 @@ class Lattices:
                 at = self.target[e]
                 go = self.begin[at] < self.begin[at + 1]
                 token, at, seed = token[go], at[go], seed[go]
-        out = np.zeros(int(count.sum()), np.int64)
+        out = np.zeros(int(count.sum()), np.int32)
         starts = np.cumsum(count) - count
         for k, (token, piece) in enumerate(steps):
             out[starts[token] + k] = piece
