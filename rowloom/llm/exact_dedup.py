@@ -98,4 +98,5 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows with a null id stay.
     """
     dropped = exact_dedup(docs, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    # By sorting at every size: the ids that go are as many as the input makes them.
+    return docs.join(dropped.hint("merge"), docs[id_col] == dropped["__dropped"], "left_anti")

@@ -211,7 +211,7 @@ def _bag_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(data, pa.binary())], ["node", "bag"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = wanted.join(rows, wanted["node"] == rows["doc_id"]).select("node", "name1", "name2", "text")
+    rows = wanted.hint("merge").join(rows, wanted["node"] == rows["doc_id"]).select("node", "name1", "name2", "text")
     out = rows.mapInArrow(run, "node long, bag binary").filter("bag IS NOT NULL")
     return stash(out, "neardup-bags")
 
@@ -394,4 +394,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns."""
     dropped = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    # By sorting at every size: the ids that go are as many as the input makes them.
+    return docs.join(dropped.hint("merge"), docs[id_col] == dropped["__dropped"], "left_anti")
