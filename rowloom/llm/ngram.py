@@ -46,7 +46,7 @@ DISCOUNT = 0.75
 #: Documents to a shard, on average, and the most shards (as powers of two).
 SHARD_DOCS, MAX_SHARD_BITS = 4096, 14
 #: Entries of a worker's vocabulary cache, characters and tokens of a slice, keys of a block.
-CACHE_WORDS, SLICE_CHARS, SLICE_TOKENS, BLOCK_KEYS = 600_000, 2_000_000, 500_000, 4_000_000
+CACHE_WORDS, SLICE_CHARS, SLICE_TOKENS, BLOCK_KEYS = 600_000, 1_000_000, 200_000, 4_000_000
 #: The end of a text; white space, so no word equals it.
 END = b"\n"
 #: Codes cover logarithms from 0 to -CODE_RANGE.

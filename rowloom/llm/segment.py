@@ -43,7 +43,7 @@ RANK_SHIFT = 8.0
 BYTES_RANK = 1_000_000.0
 LONGEST = 16
 SPACE = "▁"
-CACHE_WORDS, SLICE_CHARS, LONG_WORD = 300_000, 1_000_000, 40
+CACHE_WORDS, SLICE_CHARS, LONG_WORD = 300_000, 400_000, 40
 TABLE_BITS = 20
 #: What is left of a word beside its first draw counts as nothing below this probability.
 LEAST_MASS = 1e-14
