@@ -4,10 +4,10 @@ Levels, each in shards of its own in the shared folder, memory-mapped by the
 workers that score:
 
 1. tokens, by the 64-bit hash of their bytes; a token's id is its rank;
-2. retained bigrams: for each token the successors, as one monotone Elias-Fano
+2. bigrams: for each token the successors, as one monotone Elias-Fano
    sequence of context * V + successor, and monotone pointers to where each
    token's successors begin;
-3. retained trigrams below each retained bigram.  The last token is written as
+3. trigrams below each bigram.  The last token is written as
    its place among the successors of the middle token, not as its id, so the
    numbers stay small: a query finds the middle token's successor first and
    searches that relative number below the bigram (context-relative search).
@@ -15,8 +15,8 @@ workers that score:
 Probabilities are interpolated with absolute discounting,
 p(w|ctx) = max(c - D, 0) / c(ctx) + weight(ctx) * p(w|shorter ctx), with the
 add-one unigram at the end; both terms are kept as 16-bit logarithmic codes.
-Counts cover all training text.  Bigrams and trigrams seen fewer than MIN_COUNT
-times leave their share to the weight.
+Counts cover all training text, and every bigram and trigram of it is retained
+(a MIN_COUNT above 1 would leave the share of rarer ones to the weight).
 
 Texts are turned into token ids once, as soon as level 1 is there; the passes
 that count and score read the ids.  Every pass pre-aggregates in the worker and ships packed blocks per shard, so a
@@ -41,8 +41,9 @@ from rowloom.llm.elias_fano import Sequence
 from rowloom.llm.scratch import fresh_path
 from rowloom.llm.workers import held
 
-MIN_COUNT = 2
+MIN_COUNT = 1
 DISCOUNT = 0.75
+LAST_LEVEL = 3
 #: Documents to a shard, on average, and the most shards (as powers of two).
 SHARD_DOCS, MAX_SHARD_BITS = 4096, 14
 #: Entries of a worker's vocabulary cache, characters and tokens of a slice, keys of a block.
@@ -141,8 +142,9 @@ class Model:
 
     def set_level(self, level: int, sizes: dict[int, int]) -> None:
         self.starts[level] = np.concatenate([[0], np.cumsum([sizes.get(b, 0) for b in range(1 << self.bits)])]).astype(np.int64)
-        if self.starts[level][-1] >= 1 << 32:
-            raise ValueError(f"level {level} has more than 2**32 entries; raise MIN_COUNT")
+        # Entries of the last level are no contexts, so their number has no bound.
+        if level < LAST_LEVEL and self.starts[level][-1] >= 1 << 32:
+            raise ValueError(f"level {level} has more than 2**32 entries")
 
     @functools.cached_property
     def cut(self) -> np.ndarray:
@@ -344,7 +346,9 @@ def _write_level(model: Model, level: int, shard: int, keys: np.ndarray, counts:
     sizes = np.bincount(context, minlength=contexts)
     weight = 1 - np.bincount(context, p, contexts)
     keys = context.astype(U64) * U64(universe) + follow
-    parts = {"prob": encode_log(p), "weight": encode_log(np.maximum(weight, 1e-10)), "universe": np.array([universe], np.int64), "count": counts.astype(np.uint32), "filter": _filter(keys)}
+    parts = {"prob": encode_log(p), "weight": encode_log(np.maximum(weight, 1e-10)), "universe": np.array([universe], np.int64), "filter": _filter(keys)}
+    if level < LAST_LEVEL:
+        parts["count"] = counts.astype(np.uint32)
     parts |= {f"succ.{k}": v for k, v in Sequence.build(keys, contexts * universe).items()}
     parts |= {f"ptr.{k}": v for k, v in Sequence.build(np.concatenate([[0], np.cumsum(sizes)]), len(follow) + 1).items()}
     store.write(f"{model.folder}/{level}-{shard:05d}", parts)

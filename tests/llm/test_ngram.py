@@ -70,6 +70,17 @@ def test_scores(spark):
         assert r.score <= 0
 
 
+def test_ngrams_seen_once_are_retained(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    docs = spark.createDataFrame(zip(ids, ["p q r", "s t u"], strict=True), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in ngram.train_and_score(docs).collect()}
+    # 8 tokens of 7 types, each once but for the end; every longer n-gram once.
+    word, end = 2 / 16, 3 / 16
+    below = lambda p: 0.25 + 0.75 * p
+    expected = sum(map(math.log10, (word, below(word), below(below(word)), below(below(end)))))
+    assert [found[i] for i in ids] == pytest.approx([expected] * 2, abs=2e-3)
+
+
 def test_probabilities_sum_to_one(spark):
     """Over the vocabulary and one unknown word, after one token and after two."""
     docs = spark.createDataFrame([(i, "a b c a b d a b c b") for i in range(30)], "doc_id long, text string").select("text")
