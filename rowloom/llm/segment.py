@@ -2,11 +2,11 @@
 
 Text is normalised as the model does: spaces become U+2581 and one stands before
 the text.  Every path through the lattice of vocabulary pieces is a segmentation;
-pieces with more than one U+2581 take no part, and a character that is no piece
-is spelled in byte pieces.  A path's probability is proportional to the product
+a character that is no piece is spelled in byte pieces.  A path's probability is proportional to the product
 of its pieces' weights, 1 / (RANK_SHIFT + rank) with the merge rank that the
-model's score holds.  Pieces never reach across a space, so the lattice is a
-chain of word lattices; the sums over a word's lattice, and from them the
+model's score holds.  A piece has spaces at its start only, so it never reaches from a word
+into the spaces behind it, and the lattice is a chain of lattices of words, each with
+the run of spaces before it; the sums over a word's lattice, and from them the
 probability of each step, are computed once for each distinct word.
 
 Perturbed A* search.  A Gumbel variable for every segmentation, largest first,
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -55,6 +56,8 @@ _BASE, _STEP = U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
 #: One step of a lattice, together in memory.
 _STEP_RECORD = np.dtype([("up_to", "f8"), ("logp", "f8"), ("piece", "i4"), ("target", "i4")])
+#: A run of spaces and the word behind it.
+_RUN = re.compile(" +[^ ]*")
 #: Words drawn at once.
 CHUNK = 1 << 14
 
@@ -69,7 +72,10 @@ class Vocabulary:
         n = self.model.get_piece_size()
         self.pieces = [self.model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
-        plain = [i for i in plain if SPACE not in self.pieces[i][1:]]
+        if any(SPACE in self.pieces[i].lstrip(SPACE) for i in plain):
+            raise ValueError("a piece has a space behind a word, so words have no lattices of their own")
+        if max(len(self.pieces[i]) for i in plain) > LONGEST:
+            raise ValueError(f"a piece is longer than {LONGEST} characters")
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(n) if self.model.is_byte(i)}
         self.byte_values = {i: b for b, i in self.bytes.items()}
         self.ids = np.array(plain, np.int64)
@@ -159,7 +165,7 @@ class Lattices:
         self.up_to, self.logp, self.piece, self.target = (records[name] for name in _STEP_RECORD.names)
 
     def states(self, words: list[str]) -> np.ndarray:
-        """First state of each word; the space before it belongs to the lattice."""
+        """First state of each word of ``words_of``; the first space before it is added here."""
         if len(self.words) > CACHE_WORDS:
             self.clear()
         new = list(set(words).difference(self.words))
@@ -374,6 +380,16 @@ def _best(paths: list[Path]) -> tuple[float, int, int]:
     return found
 
 
+def words_of(text: str) -> list[str]:
+    """Words with the run of spaces before each, but for the first space of the run; spaces at the end are a run before no word."""
+    if not text:
+        return []
+    text = text.replace(SPACE, " ")
+    if text[0] != " " and "  " not in text:
+        return text.split(" ")
+    return [w[1:].replace(" ", SPACE) for w in _RUN.findall(" " + text)]
+
+
 class Sampler:
     def __init__(self, path: str) -> None:
         self.v = vocabulary(path)
@@ -385,7 +401,7 @@ class Sampler:
             yield from self._sample(keys[a:b], texts[a:b], k)
 
     def _sample(self, keys: list[str], texts: list[str], k: int) -> list[list[tuple[Path, float]]]:
-        split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
+        split = list(map(words_of, texts))
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         starts = np.cumsum(lengths) - lengths
         states = self.lattices.states([w for ws in split for w in ws])

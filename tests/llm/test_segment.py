@@ -90,6 +90,48 @@ def test_all_segmentations_when_k_is_large():
         assert math.exp(path.logp.sum()) == pytest.approx(expected[ids])
 
 
+def all_paths_of_all_pieces(text):
+    """As ``all_paths``, over the whole text at once and from the model's own list of pieces."""
+    v = segment.vocabulary(MODEL)
+    m = v.model
+    normal = {m.id_to_piece(i): i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
+
+    def ways(rest):
+        if not rest:
+            yield (), 1.0
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in normal:
+                head, w = (normal[rest[:n]],), 1 / (segment.RANK_SHIFT + max(0.0, -m.get_score(normal[rest[:n]])))
+            elif n == 1:
+                head, w = tuple(v.bytes[b] for b in rest[0].encode()), v.byte_weight
+            else:
+                continue
+            for tail, x in ways(rest[n:]):
+                yield head + tail, w * x
+
+    found = dict(ways(segment.SPACE + text.replace(" ", segment.SPACE)))
+    total = sum(found.values())
+    return {k: x / total for k, x in found.items()}
+
+
+@pytest.mark.parametrize("text", [" ", "   ", "a  b", "  a", "a   ", "is", "é  \n  b"])
+def test_runs_of_spaces_have_all_segmentations(text):
+    expected = all_paths_of_all_pieces(text)
+    (found,) = samples([text], len(expected) + 5)
+    assert {f[0] for f in found} == set(expected)
+    for ids, path, _ in found:
+        assert path.logp.sum() == pytest.approx(math.log(expected[ids]), abs=1e-6)
+        assert segment.decode(ids, MODEL) == text
+
+
+def test_first_sample_of_a_run_follows_the_lattice():
+    expected, n = all_paths_of_all_pieces("a  b"), 6000
+    got = Counter(f[0][0] for f in samples(["a  b"] * n, 1))
+    assert any(segment.vocabulary(MODEL).pieces[i] == "▁▁" for path in got for i in path)
+    for path, p in expected.items():
+        assert abs(got[path] - n * p) < 5 * math.sqrt(n * p * (1 - p)) + 3
+
+
 def test_seeded_by_key():
     text = "several words of a text that has many segmentations"
     one, two = samples([text, "other", text], 2, ["a", "b", "a"])[0::2]
