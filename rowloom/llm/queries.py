@@ -98,8 +98,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_gumbel_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the samples; ``segment.sample_segmentations`` also gives the ids."""
-    return segment.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2, with_ids=False)
+    """The samples with their ids, and the text that these decode to."""
+    return segment.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2, with_text=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

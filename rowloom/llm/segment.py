@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rowloom.llm.arrow import slices, texts_of
 from rowloom.llm.neardup import mix
@@ -45,6 +46,7 @@ BYTES_RANK = 1_000_000.0
 LONGEST = 16
 SPACE = "▁"
 CACHE_WORDS, SLICE_CHARS, LONG_WORD = 300_000, 400_000, 40
+SLICE_IDS = 200_000
 TABLE_BITS = 20
 #: What is left of a word beside its first draw counts as nothing below this probability.
 LEAST_MASS = 1e-14
@@ -77,7 +79,6 @@ class Vocabulary:
         if max(len(self.pieces[i]) for i in plain) > LONGEST:
             raise ValueError(f"a piece is longer than {LONGEST} characters")
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(n) if self.model.is_byte(i)}
-        self.byte_values = {i: b for b, i in self.bytes.items()}
         self.ids = np.array(plain, np.int64)
         self.index = {self.pieces[i]: k for k, i in enumerate(plain)}
         self.weights = 1 / (RANK_SHIFT + np.array([max(0.0, -self.model.get_score(i)) for i in plain]))
@@ -471,44 +472,113 @@ class Sampler:
         return np.array(out, np.int64)
 
 
+class Spelling:
+    """What each vocabulary id spells, as slices of one array of bytes."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        spelled = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Text of each list of ids; ``ends`` are where the lists begin in ``ids``, and its length."""
+        size = self.size[ids]
+        after = np.cumsum(size)
+        data = self.data[np.repeat(self.begin[ids] - (after - size), size) + np.arange(int(size.sum()))].tobytes()
+        at = np.concatenate([[0], after])[ends].tolist()
+        # Byte pieces may also spell a U+2581, or what is no text.
+        texts = [data[a:b].decode("utf-8", "replace").replace(SPACE, " ") for a, b in zip(at, at[1:], strict=False)]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
+
+@functools.cache
+def spelling(path: str) -> Spelling:
+    return Spelling(path)
+
+
 def decode(ids: Iterable[int], path: str) -> str:
     """Text of vocabulary ids; byte pieces are joined, and the space put before the text goes."""
-    v, out = vocabulary(path), bytearray()
-    for i in ids:
-        out += bytes([v.byte_values[i]]) if i in v.byte_values else v.pieces[i].encode()
-    text = out.decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text[:1] == " " else text
+    ids = np.array(list(ids), np.int64)
+    return spelling(path).texts(ids, np.array([0, len(ids)]))[0]
+
+
+def _decoded(batch: pa.RecordBatch, at: int, known: Spelling, text_col: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, with the text of the ids in column ``at``."""
+    lengths = [n or 0 for n in batch.column(at).value_lengths().to_pylist()]
+    for a, b in slices(lengths, SLICE_IDS):
+        part = batch.slice(a, b - a)
+        column = part.column(at)
+        # Without what null rows may hold.
+        ids = column.flatten().to_numpy(zero_copy_only=False)
+        texts = pa.array(known.texts(ids, np.cumsum([0, *lengths[a:b]])), pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([*part.columns, texts], [*batch.schema.names, text_col])
+
+
+def decode_rows(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """The rows with the text of their ids, as ``decode`` gives it; null for null ids."""
+    at = rows.columns.index(ids_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _decoded(batch, at, spelling(path), text_col)
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text_col, StringType())]))
 
 
 def _worker(path: str) -> Sampler:
     return held(("segment", path), lambda: Sampler(path))
 
 
-def sample_segmentations(docs: DataFrame, path: str, k: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_segmentations(docs: DataFrame, path: str, k: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """At most k rows per document, best first: doc_id, sample, n_pieces, log_prob, value, inclusion, ids_crc32 and, on request, ids.
 
     ``value`` is the perturbed log probability that orders the samples (from 1).
     Fewer rows than k mean that the text has no more segmentations.  A null or
     empty text has one, without pieces.  A null id seeds as the text "None";
     repeated rows give the same samples.  An empty table gives no rows.
+
+    ``with_text`` adds ``decoded`` to the ids: ``decode_rows`` in the same pass.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    with_ids = with_ids or with_text
     extra = ["ids"] if with_ids else []
 
+    def sampled(batch: pa.RecordBatch, sampler: Sampler) -> Iterator[pa.RecordBatch]:
+        """The samples in batches of about SLICE_IDS ids."""
+        texts, keys = texts_of(batch.column(1)), [str(x) for x in batch.column(0).to_pylist()]
+        out: list[list] = [[] for _ in range(8)]
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            arrays = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), *(pa.array(x, pa.float64()) for x in out[3:6]), pa.array(out[6], pa.int64())]
+            arrays += [pa.array(out[7], pa.list_(pa.int32()))] if with_ids else []
+            for column in out:
+                column.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "sample", "n_pieces", "log_prob", "value", "inclusion", "ids_crc32", *extra])
+
+        for row, found in enumerate(sampler.sample(keys, texts, k)):
+            for n, (p, inclusion) in enumerate(found, 1):
+                ids = sampler.ids(p.pieces).astype("<i4")
+                values = (row, n, len(ids), float(p.logp.sum()), p.value, inclusion, zlib.crc32(ids), ids)
+                for column, value in zip(out, values if with_ids else values[:7], strict=False):
+                    column.append(value)
+                size += len(ids)
+            if size >= SLICE_IDS:
+                yield flush()
+                size = 0
+        if out[0]:
+            yield flush()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _worker(path)
         for batch in batches:
-            texts, keys = texts_of(batch.column(1)), [str(x) for x in batch.column(0).to_pylist()]
-            out: list[list] = [[] for _ in range(8)]
-            for row, found in enumerate(sampler.sample(keys, texts, k)):
-                for n, (p, inclusion) in enumerate(found, 1):
-                    ids = sampler.ids(p.pieces)
-                    values = (row, n, len(ids), float(p.logp.sum()), p.value, inclusion, zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32))
-                    for column, value in zip(out, values if with_ids else values[:7], strict=False):
-                        column.append(value)
-            arrays = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), *(pa.array(x, pa.float64()) for x in out[3:6]), pa.array(out[6], pa.int64())]
-            arrays += [pa.array(out[7], pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sample", "n_pieces", "log_prob", "value", "inclusion", "ids_crc32", *extra])
+            for found in sampled(batch, sampler):
+                yield from _decoded(found, found.num_columns - 1, spelling(path), "decoded") if with_text else [found]
 
-    schema = f"doc_id {kind}, sample int, n_pieces long, log_prob double, value double, inclusion double, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, sample int, n_pieces long, log_prob double, value double, inclusion double, ids_crc32 long" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -1,13 +1,14 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from rowloom.llm import segment
+from rowloom.llm import queries, segment
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -144,3 +145,23 @@ def test_query_rows(spark):
     out = segment.sample_segmentations(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, k=2).collect()
     assert Counter(r.doc_id for r in out)[1] == 4 and [r.n_pieces for r in out if r.doc_id in (2, 3)] == [0, 0]
     assert segment.sample_segmentations(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_rows_are_decoded(spark):
+    v = segment.vocabulary(MODEL)
+    word, spaces, smile = v.index["▁the"], v.index["▁▁"], [v.bytes[b] for b in "😀".encode()]
+    lists = [[int(v.ids[word]), int(v.ids[spaces]), *smile], [], None, [v.bytes[0xFF]]]
+    out = segment.decode_rows(spark.createDataFrame(list(enumerate(lists)), "n long, ids array<int>").coalesce(1), MODEL).collect()
+    assert {r.n: r.decoded for r in out} == {0: "the  😀", 1: "", 2: None, 3: "\ufffd"}
+    assert [r.ids for r in sorted(out, key=lambda r: r.n)] == lists
+
+
+def test_query_gives_ids_and_decoded_text(spark, tmp_path):
+    texts = {1: "some  text ▁ of\n words", 2: None, 3: "", 4: " 中😀", 5: "  def f(x):  # y"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op8_gumbel_segment(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == {1: 2, 2: 1, 3: 1, 4: 2, 5: 2}
+    for r in out:
+        assert r.decoded == (texts[r.doc_id] or "").replace("▁", " ")
+        assert len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    assert len({(r.doc_id, tuple(r.ids)) for r in out}) == len(out)
