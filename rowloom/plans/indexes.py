@@ -2,30 +2,89 @@
 
 An index on Spark is what the planner knows about a column: the distinct values
 with their counts, in order.  Explain and the statistics read it from the driver
-and start no job.  It is bounded: beyond MAX_VALUES distinct values only the
-number of rows is kept, and the planner treats the column as not indexed.
+and start no job.  What the driver holds is bounded: beyond MAX_VALUES distinct
+values they lie in the shared folder with their counts, in blocks of neighbours,
+and the driver keeps the first value and the totals of each block.  An estimate
+then reads the one block that its value falls into, without a job.
 """
 
 from __future__ import annotations
 
+import functools
+import io
+import uuid
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.errors import EngineError
 from rowloom.plans.filters import RANGES, Filter
 from rowloom.schema import Schema, check_column
+from rowloom.sources import versions
 
-MAX_VALUES = 1_000_000
+#: Distinct values of an index on the driver, and about how many of a block beyond that.
+MAX_VALUES, BLOCK_VALUES = 1_000_000, 250_000
 #: An index is refused when it would leave more than this share of the rows.
 LARGEST_SHARE = 0.4
 KINDS = ("equality", "sorted", "unique")
 _ERROR = {"equality": "INDEX", "sorted": "SORTED_INDEX", "unique": "UNIQUE_INDEX"}
 
 
+class Blocks:
+    """Distinct values in order and their counts, as files of neighbours in the shared folder."""
+
+    def __init__(self, grouped: DataFrame) -> None:
+        self._spark = spark = grouped.sparkSession
+        self.folder = f"{versions.folder(spark)}/index-{uuid.uuid4().hex}"
+        grouped.write.parquet(f"{self.folder}/unordered")
+        found = spark.read.schema(grouped.schema).parquet(f"{self.folder}/unordered")
+        parts = -(-found.count() // BLOCK_VALUES)
+        found.repartitionByRange(parts, "v").sortWithinPartitions("v").write.parquet(f"{self.folder}/blocks")
+        self._path(f"{self.folder}/unordered", lambda fs, path: fs.delete(path, True))
+        blocks = spark.read.schema(grouped.schema).parquet(f"{self.folder}/blocks").groupBy(F.col("_metadata.file_name").alias("name"))
+        rows = sorted(blocks.agg(F.min("v").alias("first"), F.sum("n").alias("n"), F.count("v").alias("distinct")).collect(), key=lambda r: r["first"])
+        self.names, self.firsts = [r["name"] for r in rows], [r["first"] for r in rows]
+        self.before = np.cumsum([0, *(r["n"] for r in rows)])
+        self.distinct = sum(r["distinct"] for r in rows)
+        self.block = functools.lru_cache(maxsize=4)(self._block)
+
+    def _path(self, path: str, use) -> Any:
+        """Applies ``use`` to the store of a path and the path; no job."""
+        context = self._spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        return use(target.getFileSystem(context._jsc.hadoopConfiguration()), target)
+
+    def _block(self, at: int) -> tuple[list, np.ndarray]:
+        """Values of a block and the number of its rows before each, and in all."""
+
+        def data(fs, path) -> bytes:
+            stream = fs.open(path)
+            try:
+                return bytes(stream.readAllBytes())
+            finally:
+                stream.close()
+
+        found = pq.read_table(io.BytesIO(self._path(f"{self.folder}/blocks/{self.names[at]}", data)))
+        return found["v"].to_pylist(), np.cumsum([0, *found["n"].to_pylist()])
+
+    def below(self, value: Any, also_equal: bool) -> int:
+        """Number of rows with smaller values, or those and equal ones."""
+        at = bisect_right(self.firsts, value) - 1
+        if at < 0:
+            return 0
+        values, before = self.block(at)
+        return int(self.before[at] + before[(bisect_right if also_equal else bisect_left)(values, value)])
+
+    def count(self, value: Any) -> int:
+        return self.below(value, True) - self.below(value, False)
+
+
 @dataclass
 class Index:
     kind: str
@@ -34,8 +93,8 @@ class Index:
     dirty_reason: str | None = None
     generation: int = 0
     rows: int = 0
-    #: Distinct values in order and their counts; None beyond MAX_VALUES.
-    values: list | None = field(default_factory=list)
+    #: Distinct values in order and their counts; beyond MAX_VALUES blocks, without counts here.
+    values: list | Blocks | None = field(default_factory=list)
     counts: np.ndarray | None = None
     distinct: int = 0
     stale_results: int = 0
@@ -43,12 +102,15 @@ class Index:
 
     def __post_init__(self) -> None:
         self._place: dict[Any, int] = {}
+        #: Rows by value that were inserted since blocks were written.
+        self._more: Counter = Counter()
         self._before: np.ndarray | None = None
 
-    def install(self, values: list | None, counts: np.ndarray | None, rows: int, distinct: int) -> None:
+    def install(self, values: list | Blocks | None, counts: np.ndarray | None, rows: int, distinct: int) -> None:
         self.values, self.counts, self.rows, self.distinct = values, counts, rows, distinct
         self.state, self.dirty_reason, self.last_error = "fresh", None, None
-        self._place = {v: i for i, v in enumerate(values)} if values is not None else {}
+        self._place = {v: i for i, v in enumerate(values)} if isinstance(values, list) else {}
+        self._more = Counter()
         self._before = np.concatenate([[0], np.cumsum(counts)]) if counts is not None else None
 
     def mark_dirty(self, reason: str) -> None:
@@ -61,6 +123,14 @@ class Index:
         self.rows += len(rows)
         if self.values is None:
             return
+        if isinstance(self.values, Blocks):
+            new = Counter(row[self.column] for row in rows)
+            # In order, so that each block is read once.
+            self.distinct += sum(v not in self._more and not self.values.count(v) for v in sorted(new))
+            self._more += new
+            if len(self._more) > MAX_VALUES:
+                self.mark_dirty("insert")
+            return
         found = dict(zip(self.values, self.counts.tolist() if self.counts is not None else [], strict=True))
         for row in rows:
             found[row[self.column]] = found.get(row[self.column], 0) + 1
@@ -69,6 +139,13 @@ class Index:
 
     def estimate(self, f: Filter) -> int | None:
         """Number of rows that the filter leaves, if this index can tell."""
+        if isinstance(self.values, Blocks):
+            if self.kind == "equality" and f.op in ("=", "in"):
+                return sum(self.values.count(v) + self._more[v] for v in sorted({f.value} if f.op == "=" else set(f.value)))
+            if self.kind == "sorted" and f.op in RANGES:
+                below = self.values.below(f.value, f.op in (">", "<="))
+                return below if f.op in ("<", "<=") else self.rows - below
+            return None
         if self.values is None or self._before is None:
             return None
         if self.kind == "equality" and f.op in ("=", "in"):
@@ -92,8 +169,8 @@ class Index:
         return out | ({"dirtyReason": self.dirty_reason} if self.dirty_reason else {}) | ({"lastErrorMessage": self.last_error} if self.last_error else {})
 
 
-def histogram(frame: DataFrame, name: str, rows: int, unique: bool) -> tuple[list | None, np.ndarray | None, int, int]:
-    """Distinct values with counts: partial aggregation on the executors, at most MAX_VALUES rows here."""
+def histogram(frame: DataFrame, name: str, rows: int, unique: bool) -> tuple[list | Blocks | None, np.ndarray | None, int, int]:
+    """Distinct values with counts: partial aggregation on the executors, at most MAX_VALUES rows here, else blocks."""
     grouped = frame.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     if unique:
         # Keys are checked where they are; only their number comes here.
@@ -103,7 +180,9 @@ def histogram(frame: DataFrame, name: str, rows: int, unique: bool) -> tuple[lis
         return None, None, rows, rows
     found = grouped.limit(MAX_VALUES + 1).toArrow()
     if found.num_rows > MAX_VALUES:
-        return None, None, rows, found.num_rows
+        del found
+        blocks = Blocks(grouped)
+        return blocks, None, rows, blocks.distinct
     pairs = sorted(zip(found["v"].to_pylist(), found["n"].to_pylist(), strict=True))
     return [v for v, _ in pairs], np.array([n for _, n in pairs], np.int64), rows, len(pairs)
 

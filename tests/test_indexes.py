@@ -2,6 +2,7 @@ import threading
 
 from rowloom import Table
 from rowloom.operators import background
+from rowloom.plans import indexes
 from tests.helpers import USERS, fails, make, users
 
 
@@ -146,3 +147,32 @@ def test_low_level_surface(spark):
     t.record_row_scan()
     t.record_row_scans(4)
     assert t.scannedRowCount == before + 5
+
+
+def test_estimates_and_stats_are_the_same_at_every_size(spark, monkeypatch):
+    rows = [u | {"score": (u["id"] * 37) % 211 * 10} for u in users(400)]
+    small = make(spark, rows).create_index("score").create_index("status").create_sorted_index("score").create_unique_index("id")
+    monkeypatch.setattr(indexes, "MAX_VALUES", 50)
+    monkeypatch.setattr(indexes, "BLOCK_VALUES", 30)
+    large = make(spark, rows).create_index("score").create_index("status").create_sorted_index("score").create_unique_index("id")
+    blocks = large.registry.by_kind["sorted"]["score"].values
+    assert isinstance(blocks, indexes.Blocks) and len(blocks.names) > 3
+    large.frame()
+    spark.sparkContext.setJobGroup("large", "large")
+    for op in ("<", "<=", ">", ">="):
+        for value in (0, 5, 10, 700, 1234, 2090, 2100, 2101, 5000):
+            assert large.where("score", op, value).explain() == small.where("score", op, value).explain()
+    for value in range(0, 2120, 5):
+        assert large.where("score", "=", value).explain() == small.where("score", "=", value).explain()
+    asked = [2100, 10, 3, 770, 1500]
+    assert large.where("score", "in", asked).explain() == small.where("score", "in", asked).explain()
+    assert large.index_stats() == small.index_stats() and large.index_stats()[0]["uniqueValues"] == 211
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("large")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    more = [u | {"id": 1000 + u["id"], "score": s} for u, s in zip(users(4), (10, 3, 3, 3000), strict=True)]
+    for t in (small, large):
+        t.insert_many(more)
+    assert large.index_stats() == small.index_stats() and large.index_stats()[0]["uniqueValues"] == 213
+    for value in (10, 3, 3000, 20):
+        assert large.where("score", "=", value).explain() == small.where("score", "=", value).explain()
+        assert large.where("score", "=", value).count() == small.where("score", "=", value).count()
