@@ -44,15 +44,15 @@ O_SQL = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(epoch(
 
 def _orders(spark: SparkSession, d: str) -> Table:
     date = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
-    return Table.from_parquet(spark, f"{d}/orders.parquet", ORDERS, check=False, prepare=lambda df: df.withColumn("o_orderdate", date))
+    return Table.from_parquet(spark, f"{d}/orders.parquet", ORDERS, prepare=lambda df: df.withColumn("o_orderdate", date))
 
 
 def _lineitem(spark: SparkSession, d: str) -> Table:
-    return Table.from_parquet(spark, f"{d}/lineitem.parquet", LINEITEM, check=False)
+    return Table.from_parquet(spark, f"{d}/lineitem.parquet", LINEITEM)
 
 
 def _customer(spark: SparkSession, d: str) -> Table:
-    return Table.from_parquet(spark, f"{d}/customer.parquet", CUSTOMER, check=False)
+    return Table.from_parquet(spark, f"{d}/customer.parquet", CUSTOMER)
 
 
 def _part(spark: SparkSession, d: str) -> Table:

@@ -1,6 +1,7 @@
 import pytest
 
-from rowloom import UNSET, Table, column
+from rowloom import UNSET, EngineError, Table, column
+from rowloom.queries import QUERIES
 from tests.helpers import OPS, USERS, Lcg, fails, make, users
 
 
@@ -167,3 +168,12 @@ def test_random_queries(spark):
                 q, wanted = q.offset(o).limit(n), wanted[o : o + n]
             assert q.to_array() == wanted
             assert q.count() == len(wanted)
+
+
+def test_registered_queries_check_the_large_tables(spark, tmp_path):
+    spark.sql("SELECT 1 AS o_orderkey, 2 AS o_custkey, 'X' AS o_orderstatus, 3D AS o_totalprice, DATE '1995-01-01' AS o_orderdate, '5-LOW' AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("SELECT 1 AS l_orderkey, 2 AS l_partkey, 3 AS l_suppkey, 1 AS l_linenumber, 4D AS l_quantity, 5D AS l_extendedprice, 0D AS l_discount, 'X' AS l_returnflag, 'F' AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT 1 AS c_custkey, 2 AS c_nationkey, CAST('NaN' AS DOUBLE) AS c_acctbal, 'BUILDING' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("flagship", "a1_count", "x8_explain"):
+        with pytest.raises(EngineError):
+            QUERIES[name](spark, str(tmp_path)).collect()
