@@ -211,7 +211,7 @@ def _bag_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(data, pa.binary())], ["node", "bag"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = wanted.hint("merge").join(rows, wanted["node"] == rows["doc_id"]).select("node", "name1", "name2", "text")
+    rows = wanted.hint("merge").join(rows, wanted["least"] == rows["doc_id"]).select("node", "name1", "name2", "text")
     out = rows.mapInArrow(run, "node long, bag binary").filter("bag IS NOT NULL")
     return stash(out, "neardup-bags")
 
@@ -354,24 +354,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketch = stash(sketches(docs, id_col, text_col), "neardup-sketch")
     named = _least(sketch.select("doc_id", "name1", "name2"), ["name1", "name2"], "doc_id")
-    member = stash(named.select("doc_id", "name1", "name2", F.col("least").alias("node")).distinct(), "neardup-members")
-    nodes = sketch.join(member.filter("doc_id = node"), ["doc_id", "name1", "name2"]).dropDuplicates(["doc_id", "name1", "name2"])
-    nodes = stash(nodes.select(F.col("doc_id").alias("node"), "name1", "name2", "size", "sig", "bands"), "neardup-nodes")
-    # A repeated id can stand for several multisets; links below are between ids.
-    single = nodes.select("node", "size", "sig", "bands").dropDuplicates(["node"]) if nodes.count() != nodes.select("node").distinct().count() else nodes
+    member = stash(named.select("doc_id", "name1", "name2", "least").distinct(), "neardup-members")
+    nodes = sketch.join(member.filter("doc_id = least"), ["doc_id", "name1", "name2"]).dropDuplicates(["doc_id", "name1", "name2"])
+    # A node is a multiset, numbered as it is written; a repeated id can stand for several.
+    nodes = stash(nodes.select(F.monotonically_increasing_id().alias("node"), "least", "name1", "name2", "size", "sig", "bands"), "neardup-nodes")
+    several = member.count() != member.select("doc_id").distinct().count()
 
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     star = _least(buckets, ["band", "h"], "node").filter("node != least")
-    pairs = stash(_agreeing(star.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), single), "neardup-pairs")
+    pairs = stash(_agreeing(star.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), nodes), "neardup-pairs")
     # Buckets of one node need no more attention.
     alive = buckets.join(star.select("band", "h").distinct(), ["band", "h"], "left_semi")
     alive = stash(alive.select("band", "h", "node"), "neardup-buckets")
-    wanted = nodes.join(alive.select("node").distinct(), "node", "left_semi").select("node", "name1", "name2")
+    wanted = nodes.join(alive.select("node").distinct(), "node", "left_semi").select("node", "least", "name1", "name2")
     bags = _bag_table(docs, wanted, id_col, text_col)
 
     # Documents with equal multisets are linked to their node.
     links = stash(_verified(pairs, bags), "neardup-links")
-    groups = stash(components(single.select("node"), links), "neardup-groups")
+    groups = stash(components(nodes.select("node"), links), "neardup-groups")
     placed = alive.join(groups, "node")
     sizes = placed.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("band", "h").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
@@ -380,12 +380,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = F.col("label") == F.col("top")
     shares = F.when(large, F.array(F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("shares") - 1))
     open_rows = placed.join(mixed, ["band", "h"]).select("band", "h", "node", "label", large.alias("large"), F.explode(shares).alias("share"))
-    open_rows = open_rows.join(single.select("node", "sig", "bands"), "node").join(bags, "node")
+    open_rows = open_rows.join(nodes.select("node", "sig", "bands"), "node").join(bags, "node")
     more = stash(open_rows.groupBy("band", "h", "share").applyInArrow(_across, "a long, b long"), "neardup-links")
     if not more.isEmpty():
         groups = stash(_joined(groups, more), "neardup-groups")
 
-    placed = member.select("doc_id", "node").join(groups, "node").groupBy("doc_id").agg(F.min("label").alias("class_id"))
+    name = ["name1", "name2"]
+    if several:
+        # The groups of one id are linked to the first of them.
+        labels = nodes.select("node", *name).join(groups, "node").select(*name, "label")
+        placed = stash(member.join(labels, name).select("doc_id", "label").distinct(), "neardup-placed")
+        first = placed.groupBy("doc_id").agg(F.min("label").alias("a"))
+        between = placed.join(first, "doc_id").filter("a != label").select("a", F.col("label").alias("b")).distinct()
+        merged = components(groups.select(F.col("label").alias("node")).distinct(), between)
+        groups = groups.join(merged.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label").select("node", F.col("joined").alias("label"))
+    labels = stash(nodes.select("node", *name, F.col("least").alias("doc")).join(groups, "node").select(*name, "label", "doc"), "neardup-labels")
+    placed = member.join(_least(labels, ["label"], "doc").select(*name, F.col("least").alias("class_id")), name).select("doc_id", "class_id")
+    placed = placed.distinct() if several else placed
     rows = docs.select(F.col(id_col).alias("doc_id"))
     out = rows.join(placed, "doc_id", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

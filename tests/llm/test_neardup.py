@@ -96,3 +96,18 @@ def test_nulls_and_repeats(spark):
     out = sorted(((r.doc_id, r.class_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert out == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (None, None, True)], key=repr)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_id_for_several_texts(spark):
+    """Near copies of every text of an id are in the id's group, and so are their own near copies."""
+    r = random.Random(8)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(200)] for _ in range(6)]
+    near = lambda k: " ".join(edited(r, base[k], 2))
+    rows = [(50, " ".join(words)) for words in base[:4]] + [(50, " ".join(base[0]))]
+    rows += [(60 + k, near(k)) for k in range(5)] + [(10, near(2)), (70, near(5)), (71, " ".join(base[5]))]
+    # Two ids that share no text but a third one's.
+    rows += [(80, near(4)), (80, " ".join(base[5]))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(out) == len(rows)
+    assert {(r.doc_id, r.class_id) for r in out} == {(i, 10) for i in (10, 50, 60, 61, 62, 63)} | {(i, 64) for i in (64, 70, 71, 80)}
+    assert all(r.kept == (r.doc_id == r.class_id) for r in out)
