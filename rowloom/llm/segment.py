@@ -32,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
@@ -48,20 +49,22 @@ SPACE = "▁"
 CACHE_WORDS, SLICE_CHARS, LONG_WORD = 300_000, 400_000, 40
 SLICE_IDS = 200_000
 TABLE_BITS = 20
-#: What is left of a word beside its first draw counts as nothing below this probability.
-LEAST_MASS = 1e-14
-DEEPEST = -64.0
+#: Below this probability what a draw leaves of a word is added up, not taken as one minus the draw.
+CANCELS = 1e-9
 
 U64 = np.uint64
+_ZERO = np.zeros(1)
 _BASE, _STEP = U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
 
 #: One step of a lattice, together in memory.
 _STEP_RECORD = np.dtype([("up_to", "f8"), ("logp", "f8"), ("piece", "i4"), ("target", "i4")])
-#: A run of spaces and the word behind it.
-_RUN = re.compile(" +[^ ]*")
+#: More spaces than one.
+_RUN = re.compile("  +")
 #: Words drawn at once.
 CHUNK = 1 << 14
+#: What the first of n bytes of a character has beside the character's bits.
+_FIRST_BYTE = np.array([0, 0, 0xC0, 0xE0, 0xF0])
 
 
 class Vocabulary:
@@ -79,6 +82,7 @@ class Vocabulary:
         if max(len(self.pieces[i]) for i in plain) > LONGEST:
             raise ValueError(f"a piece is longer than {LONGEST} characters")
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(n) if self.model.is_byte(i)}
+        self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)])
         self.ids = np.array(plain, np.int64)
         self.index = {self.pieces[i]: k for k, i in enumerate(plain)}
         self.weights = 1 / (RANK_SHIFT + np.array([max(0.0, -self.model.get_score(i)) for i in plain]))
@@ -225,8 +229,9 @@ class Lattices:
             mass[source[own[first]]] = total
             odds[own] = ways / np.repeat(total, np.diff(np.append(first, len(own))))
             if len(words) == 1 and total[0] < 1e-100:
-                # The states of a long word share a scale, which only ratios leave.
-                mass /= total[0]
+                # The states of a long word share a scale, which only ratios leave; those far behind overflow unused.
+                with np.errstate(over="ignore"):
+                    mass /= total[0]
         first_state = len(self.begin) - 1
         counts = np.bincount(source, minlength=len(mass))
         up_to = np.cumsum(odds)
@@ -240,16 +245,29 @@ class Lattices:
         self.grown["step"].extend(step)
         self._expose()
 
-    def draw(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A path for each word: pieces of all, pieces per word, and log probability.
+    def draw(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A path for each word: pieces of all, pieces per word, log probability, and the log probability of all other ways.
 
         In chunks whose steps stay in the processor's cache.
         """
         parts = [self._draw(states[a : a + CHUNK], seeds[a : a + CHUNK]) for a in range(0, max(len(states), 1), CHUNK)]
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-    def _draw(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        logp, count = np.zeros(len(states)), np.zeros(len(states), np.int64)
+        pieces, count, logp, forks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rest = np.where(forks, -np.expm1(logp), 0.0)
+        small = np.flatnonzero(forks & (rest < CANCELS))
+        if len(small):
+            ends = np.cumsum(count)[small].tolist()
+            known: dict[tuple, float] = {}
+            for i, state, end, n in zip(small.tolist(), states[small].tolist(), ends, count[small].tolist(), strict=True):
+                way = (state, *pieces[end - n : end].tolist())
+                if way not in known:
+                    known[way] = self.rest(state, [way[1:]])
+                rest[i] = known[way]
+        with np.errstate(divide="ignore"):
+            return pieces, count, logp, np.log(rest)
+
+    def _draw(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``draw``, but for the last: whether there is another way at all."""
+        logp, count, forks = np.zeros(len(states)), np.zeros(len(states), np.int64), np.zeros(len(states), bool)
         token, at, seed = np.arange(len(states)), states, seeds
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         with np.errstate(over="ignore"):
@@ -258,6 +276,7 @@ class Lattices:
                 u = (mix(seed) >> U64(11)).astype(np.float64) * 2.0**-53
                 e = self.begin[at]
                 wait = np.flatnonzero(u >= self.up_to[e])
+                forks[token] |= self.begin[at + 1] > e + 1
                 while len(wait):
                     e[wait] += 1
                     wait = wait[u[wait] >= self.up_to[e[wait]]]
@@ -272,7 +291,7 @@ class Lattices:
         starts = np.cumsum(count) - count
         for k, (token, piece) in enumerate(steps):
             out[starts[token] + k] = piece
-        return out, count, logp
+        return out, count, logp, forks
 
     def _steps(self, state: int) -> list[tuple[int, float, int]]:
         """Steps of a state: piece, probability, target."""
@@ -328,10 +347,29 @@ class Path:
 
     def __init__(self, pieces: np.ndarray, count: np.ndarray, logp: np.ndarray, value: float) -> None:
         self.pieces, self.count, self.logp, self.value = pieces, count, logp, value
-        self.waiting: np.ndarray | None = None
+        #: Log probability up to each word, and of the whole.
+        self.before = np.concatenate([_ZERO, logp.cumsum()])
         #: By word: the ways through it that were already drawn.
         self.drawn: dict[int, list[tuple[int, ...]]] = {}
 
+    @property
+    def total(self) -> float:
+        return float(self.before[-1])
+
+    def wait(self, waiting: np.ndarray) -> None:
+        """Take over the values of the parts that leave the path at each word."""
+        self.waiting = waiting
+        self._top()
+
+    def _top(self) -> None:
+        """The best part: value and word."""
+        t = int(self.waiting.argmax()) if len(self.waiting) else -1
+        self.best = (float(self.waiting[t]), t) if t >= 0 else (-math.inf, -1)
+
+    def lower(self, word: int, value: float) -> None:
+        self.waiting[word] = value
+        self._top()
+
 
 def iter_uniform(seed: int) -> Iterator[float]:
     """Uniform numbers for single draws, without arrays."""
@@ -347,48 +385,30 @@ def _uniform(seed: np.ndarray) -> np.ndarray:
     return ((mix(seed) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _cut_gumbel(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def _cut_gumbel(location: np.ndarray, bound: np.ndarray | float, u: np.ndarray) -> np.ndarray:
     """Gumbel variables of the locations, given that they are below the bound."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         return np.where(np.isneginf(location), -np.inf, location - np.logaddexp(location - bound, np.log(-np.log(u))))
 
 
-def _wait(path: Path, first: int, seed: U64) -> None:
-    """Values of the parts that leave the path at each word from ``first`` on.
+def _best(paths: list[Path]) -> tuple[float, int, int]:
+    """The best part of all: value, path and word."""
+    j = max(range(len(paths)), key=lambda i: paths[i].best[0])
+    return paths[j].best[0], j, paths[j].best[1]
 
-    Parts behind a prefix with a log probability under DEEPEST have no chance to
-    be among the best while others are left, and are not listed.
-    """
-    before = np.cumsum(path.logp)
-    size = int(np.searchsorted(-before, -DEEPEST)) + 1
-    logp = path.logp[:size]
-    before = before[:size] - logp
-    with np.errstate(divide="ignore"):
-        rest = np.log(np.maximum(-np.expm1(logp), 0))
-    rest[rest < np.log(LEAST_MASS)] = -np.inf
-    with np.errstate(over="ignore"):
-        u = _uniform(seed + np.arange(len(before), dtype=U64) * _BASE)
-    path.waiting = _cut_gumbel(before + rest, path.value, u)
-    path.waiting[:first] = -np.inf
 
-
-def _best(paths: list[Path]) -> tuple[float, int, int]:
-    found = (-np.inf, -1, -1)
-    for j, p in enumerate(paths):
-        if len(p.waiting):
-            t = int(p.waiting.argmax())
-            found = max(found, (float(p.waiting[t]), j, t))
-    return found
+def _spaced(text: str) -> str:
+    """The text with all but the first space of each run as U+2581, so that it falls into words at each space."""
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    if text[0] == " " or "  " in text:
+        text = _RUN.sub(lambda m: " " + SPACE * (len(m[0]) - 1), " " + text)[1:]
+    return text
 
 
 def words_of(text: str) -> list[str]:
     """Words with the run of spaces before each, but for the first space of the run; spaces at the end are a run before no word."""
-    if not text:
-        return []
-    text = text.replace(SPACE, " ")
-    if text[0] != " " and "  " not in text:
-        return text.split(" ")
-    return [w[1:].replace(" ", SPACE) for w in _RUN.findall(" " + text)]
+    return _spaced(text).split(" ") if text else []
 
 
 class Sampler:
@@ -401,48 +421,54 @@ class Sampler:
         for a, b in slices(map(len, texts), SLICE_CHARS):
             yield from self._sample(keys[a:b], texts[a:b], k)
 
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First state of each word of all texts, and the number of words of each text."""
+        words = pc.split_pattern(pa.array([_spaced(t) if t else None for t in texts], pa.string()), " ")
+        lengths = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        known = self.lattices.states(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return known[coded.indices.to_numpy()], lengths
+
     def _sample(self, keys: list[str], texts: list[str], k: int) -> list[list[tuple[Path, float]]]:
-        split = list(map(words_of, texts))
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        states, lengths = self._split(texts)
         starts = np.cumsum(lengths) - lengths
-        states = self.lattices.states([w for ws in split for w in ws])
         seeds = mix(np.array([xxhash.xxh3_64_intdigest(x) for x in keys], U64))
         place = np.arange(len(states)) - np.repeat(starts, lengths)
         with np.errstate(over="ignore"):
             word_seed = mix(np.repeat(seeds, lengths) + place.astype(U64) * _BASE)
-            drawn = self.lattices.draw(states, word_seed)
-            found: list[list[Path]] = []
-            at = np.concatenate([[0], np.cumsum(drawn[1])])
+            #: Behind the value of the part that leaves a path at a word.
+            uniform = _uniform(np.repeat(seeds + U64(11), lengths) + place.astype(U64) * _BASE)
+            pieces, count, logp, rest = self.lattices.draw(states, word_seed)
+            at = np.concatenate([[0], np.cumsum(count)])
             roots = -np.log(-np.log(_uniform(seeds + U64(7))))
-            for d, (s, n) in enumerate(zip(starts, lengths, strict=True)):
-                path = Path(drawn[0][at[s] : at[s + n]], drawn[1][s : s + n], drawn[2][s : s + n], float(roots[d]))
-                _wait(path, 0, seeds[d] + U64(11))
-                found.append([path])
+            found = [[Path(pieces[at[s] : at[s + n]], count[s : s + n], logp[s : s + n], r)] for s, n, r in zip(starts.tolist(), lengths.tolist(), roots.tolist(), strict=True)]
+            before = np.concatenate([p.before[:-1] for (p,) in found]) if found else logp
+            waiting = _cut_gumbel(before + rest, np.repeat(roots, lengths), uniform)
+            for (p,), s, n in zip(found, starts.tolist(), lengths.tolist(), strict=True):
+                p.wait(waiting[s : s + n])
             for r in range(1, k):
-                todo = []
-                for d, paths in enumerate(found):
-                    value, j, t = _best(paths)
-                    if value > -np.inf:
-                        todo.append((d, value, j, t))
+                todo = [(d, *_best(paths)) for d, paths in enumerate(found)]
+                todo = [x for x in todo if x[1] > -math.inf]
                 if todo:
-                    self._open(todo, found, states, starts, lengths, mix(seeds + U64(r) * _STEP), word_seed)
+                    self._open(todo, found, states, starts, lengths, mix(seeds + U64(r) * _STEP), word_seed, uniform)
         return [self._scored(paths) for paths in found]
 
-    def _open(self, todo, found: list[list[Path]], states: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seeds: np.ndarray, word_seed: np.ndarray) -> None:
+    def _open(self, todo, found: list[list[Path]], states: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seeds: np.ndarray, word_seed: np.ndarray, uniform: np.ndarray) -> None:
         """Draw the best path of the best part of each text in ``todo``."""
-        spans = [np.arange(starts[d] + t, starts[d] + lengths[d]) for d, _, _, t in todo]
-        rows = np.concatenate(spans)
-        sizes = np.array([len(s) for s in spans])
+        spans = [(int(starts[d]) + t, int(starts[d] + lengths[d])) for d, _, _, t in todo]
+        rows = np.concatenate([np.arange(a, b) for a, b in spans])
+        sizes = np.array([b - a for a, b in spans])
         first = np.cumsum(sizes) - sizes
-        pieces, count, logp = self.lattices.draw(states[rows], mix(word_seed[rows] ^ np.repeat(seeds[[d for d, *_ in todo]], sizes)))
+        pieces, count, logp, rest = self.lattices.draw(states[rows], mix(word_seed[rows] ^ np.repeat(seeds[[d for d, *_ in todo]], sizes)))
         at = np.concatenate([[0], np.cumsum(count)])
-        for (d, value, j, t), f, n in zip(todo, first, sizes, strict=True):
-            parent = found[d][j]
+        made: list[Path] = []
+        for (d, value, j, t), f, n in zip(todo, first.tolist(), sizes.tolist(), strict=True):
+            parent, state = found[d][j], int(states[rows[f]])
             cut = int(parent.count[:t].sum())
             here = tuple(parent.pieces[cut : cut + int(parent.count[t])].tolist())
             drawn = parent.drawn.setdefault(t, [here])
             # Only what was not drawn here before belongs to the part.
-            own, own_logp = self.lattices.draw_other(int(states[rows[f]]), drawn, uniform := iter_uniform(int(seeds[d])))
+            own, own_logp = self.lattices.draw_other(state, drawn, numbers := iter_uniform(int(seeds[d])))
             drawn.append(own)
             path = Path(
                 np.concatenate([parent.pieces[:cut], np.array(own, np.int64), pieces[at[f + 1] : at[f + n]]]),
@@ -450,26 +476,49 @@ class Sampler:
                 np.concatenate([parent.logp[:t], [own_logp], logp[f + 1 : f + n]]),
                 value,
             )
-            _wait(path, t + 1, seeds[d] + U64(11))
+            made.append(path)
             found[d].append(path)
-            rest = 1 - math.exp(parent.logp[t]) - math.exp(own_logp) if len(drawn) == 2 else 0.0
-            if rest < 0.01:
-                rest = self.lattices.rest(int(states[rows[f]]), drawn)
-            location = np.array([float(parent.logp[:t].sum()) + (np.log(rest) if rest > 0 else -np.inf)])
-            parent.waiting[t] = _cut_gumbel(location, value, np.array([next(uniform)]))[0]
+            left = 1 - math.exp(parent.logp[t]) - math.exp(own_logp) if len(drawn) == 2 else 0.0
+            if left < 0.01:
+                left = self.lattices.rest(state, drawn)
+            if left > 0:
+                parent.lower(t, float(_cut_gumbel(parent.before[t] + math.log(left), value, next(numbers))))
+            else:
+                parent.lower(t, -math.inf)
+        # A new path leaves its parent at the word before its own parts.
+        before = np.concatenate([p.before[-1 - n : -1] for p, n in zip(made, sizes.tolist(), strict=True)])
+        rest[first] = -np.inf
+        waiting = _cut_gumbel(before + rest, np.repeat([p.value for p in made], sizes), uniform[rows])
+        for p, f, n in zip(made, first.tolist(), sizes.tolist(), strict=True):
+            p.wait(np.concatenate([np.full(len(p.logp) - n, -np.inf), waiting[f : f + n]]))
 
     def _scored(self, paths: list[Path]) -> list[tuple[Path, float]]:
         kappa = _best(paths)[0]
-        return [(p, float(-np.expm1(-np.exp(min(p.logp.sum() - kappa, 700)))) if kappa > -np.inf else 1.0) for p in paths]
+        return [(p, float(-np.expm1(-np.exp(min(p.total - kappa, 700)))) if kappa > -np.inf else 1.0) for p in paths]
 
     def ids(self, pieces: np.ndarray) -> np.ndarray:
         """Vocabulary ids; characters in bytes become several."""
-        if (pieces >= 0).all():
-            return self.v.ids[pieces]
-        out: list[int] = []
-        for p in pieces.tolist():
-            out += [int(self.v.ids[p])] if p >= 0 else [self.v.bytes[b] for b in chr(-2 - p).encode()]
-        return np.array(out, np.int64)
+        return self.listed(pieces, np.array([0, len(pieces)]))[0]
+
+    def listed(self, pieces: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary ids of lists of pieces that begin at ``ends``, and where the ids of each list begin."""
+        out = self.v.ids[np.maximum(pieces, 0)]
+        spelled = np.flatnonzero(pieces < 0)
+        if not len(spelled):
+            return out, ends
+        code = -2 - pieces[spelled].astype(np.int64)
+        size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+        number = np.ones(len(pieces), np.int64)
+        number[spelled] = size
+        before = np.concatenate([[0], np.cumsum(number)])
+        out = np.repeat(out, number)
+        # UTF-8: the first byte says how many follow, each of those holds six bits.
+        for k in range(4):
+            own = np.flatnonzero(size > k)
+            bits = code[own] >> 6 * (size[own] - 1 - k)
+            byte = np.where(size[own] == 1, bits, bits | _FIRST_BYTE[size[own]]) if k == 0 else bits & 0x3F | 0x80
+            out[before[spelled[own]] + k] = self.v.byte_ids[byte]
+        return out, before[ends]
 
 
 class Spelling:
@@ -534,6 +583,34 @@ def _worker(path: str) -> Sampler:
     return held(("segment", path), lambda: Sampler(path))
 
 
+def _sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The samples of (id, text) rows, in batches of about SLICE_IDS ids."""
+    texts, keys = texts_of(batch.column(1)), [str(x) for x in batch.column(0).to_pylist()]
+    rows: list[tuple[int, int, Path, float]] = []
+
+    def flush() -> pa.RecordBatch:
+        row, sample, paths, inclusion = zip(*rows, strict=True)
+        ends = np.cumsum([0, *(len(p.pieces) for p in paths)])
+        ids, ends = sampler.listed(np.concatenate([p.pieces for p in paths]), ends)
+        ids = ids.astype("<i4")
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(sample, pa.int32()), pa.array(np.diff(ends))]
+        arrays += [pa.array([float(p.total) for p in paths], pa.float64()), pa.array([p.value for p in paths], pa.float64()), pa.array(inclusion, pa.float64()), pa.array(crc, pa.int64())]
+        arrays += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))] if with_ids else []
+        rows.clear()
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "sample", "n_pieces", "log_prob", "value", "inclusion", "ids_crc32", *["ids"] * with_ids])
+
+    size = 0
+    for row, found in enumerate(sampler.sample(keys, texts, k)):
+        rows += [(row, n, p, inclusion) for n, (p, inclusion) in enumerate(found, 1)]
+        size += sum(len(p.pieces) for p, _ in found)
+        if size >= SLICE_IDS:
+            yield flush()
+            size = 0
+    if rows:
+        yield flush()
+
+
 def sample_segmentations(docs: DataFrame, path: str, k: int = 2, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """At most k rows per document, best first: doc_id, sample, n_pieces, log_prob, value, inclusion, ids_crc32 and, on request, ids.
 
@@ -546,38 +623,11 @@ def sample_segmentations(docs: DataFrame, path: str, k: int = 2, with_ids: bool
     """
     kind = docs.schema[id_col].dataType.simpleString()
     with_ids = with_ids or with_text
-    extra = ["ids"] if with_ids else []
-
-    def sampled(batch: pa.RecordBatch, sampler: Sampler) -> Iterator[pa.RecordBatch]:
-        """The samples in batches of about SLICE_IDS ids."""
-        texts, keys = texts_of(batch.column(1)), [str(x) for x in batch.column(0).to_pylist()]
-        out: list[list] = [[] for _ in range(8)]
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            arrays = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), *(pa.array(x, pa.float64()) for x in out[3:6]), pa.array(out[6], pa.int64())]
-            arrays += [pa.array(out[7], pa.list_(pa.int32()))] if with_ids else []
-            for column in out:
-                column.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "sample", "n_pieces", "log_prob", "value", "inclusion", "ids_crc32", *extra])
-
-        for row, found in enumerate(sampler.sample(keys, texts, k)):
-            for n, (p, inclusion) in enumerate(found, 1):
-                ids = sampler.ids(p.pieces).astype("<i4")
-                values = (row, n, len(ids), float(p.logp.sum()), p.value, inclusion, zlib.crc32(ids), ids)
-                for column, value in zip(out, values if with_ids else values[:7], strict=False):
-                    column.append(value)
-                size += len(ids)
-            if size >= SLICE_IDS:
-                yield flush()
-                size = 0
-        if out[0]:
-            yield flush()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _worker(path)
         for batch in batches:
-            for found in sampled(batch, sampler):
+            for found in _sampled(batch, sampler, k, with_ids):
                 yield from _decoded(found, found.num_columns - 1, spelling(path), "decoded") if with_text else [found]
 
     schema = f"doc_id {kind}, sample int, n_pieces long, log_prob double, value double, inclusion double, ids_crc32 long" + ", ids array<int>" * with_ids + ", decoded string" * with_text

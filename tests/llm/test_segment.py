@@ -91,6 +91,16 @@ def test_all_segmentations_when_k_is_large():
         assert math.exp(path.logp.sum()) == pytest.approx(expected[ids])
 
 
+def test_no_segmentation_is_left_out():
+    """Neither small remainders nor parts behind unlikely prefixes are dropped."""
+    expected = all_paths("on é it")
+    (found,) = samples(["on é it"], len(expected) + 5)
+    assert {f[0] for f in found} == set(expected) and len(found) == len(expected)
+    (far,) = samples([" ".join(["the", "then"] * 200)], 3)
+    for _, path, _ in far[1:]:
+        assert path.before[-2] < -100 and np.isfinite(path.waiting[-1])
+
+
 def all_paths_of_all_pieces(text):
     """As ``all_paths``, over the whole text at once and from the model's own list of pieces."""
     v = segment.vocabulary(MODEL)
