@@ -1,23 +1,29 @@
-"""Callback predicates as one fused function."""
+"""Callback predicates, evaluated batch by batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
+from rowloom.schema import POS
 
-def fused(callbacks: tuple[Callable[[dict], object], ...], columns: list[str]) -> Column:
-    """All callbacks in call order, the later ones only for rows that pass the earlier.
 
-    They share one function: Spark evaluates separate ones side by side, which
-    would show a callback rows that an earlier one has rejected.
+def passing(df: DataFrame, callbacks: tuple[Callable[[dict], object], ...]) -> DataFrame:
+    """The rows that all callbacks accept, called in their order, the later ones only for rows that pass the earlier.
+
+    Rows come as Arrow batches and leave as they came, so only the callbacks see
+    Python values.  Every callback gets a dict of its own.
     """
+    names = [n for n in df.columns if n != POS]
+
+    def accepts(values: tuple) -> bool:
+        return all(f(dict(zip(names, values, strict=True))) for f in callbacks)
 
-    @F.udf("boolean")
-    def passes(row) -> bool:
-        values = row.asDict()
-        return all(bool(f(dict(values))) for f in callbacks)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+            yield batch.filter(pa.array(map(accepts, rows), pa.bool_()))
 
-    return passes(F.struct(*columns))
+    return df.mapInArrow(run, df.schema)

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from rowloom.errors import EngineError
 from rowloom.functions.aggregates import AGGREGATES
-from rowloom.functions.callbacks import fused
-from rowloom.plans import indexes
+from rowloom.functions.callbacks import passing
+from rowloom.plans import indexes, windows
 from rowloom.plans.filters import Filter, by_cost, conjunction, make_filter, object_filters
-from rowloom.schema import POS, check_column, check_count, check_numeric
+from rowloom.schema import POS, check_column, check_count, check_numeric, col
 
 if TYPE_CHECKING:
     from rowloom.operators.table import Table
@@ -84,30 +84,55 @@ class Query:
 
     def _matches(self) -> DataFrame:
         """Rows that pass all predicates, in no order, with their place."""
-        df = self.table.frame()
+        df = self._source()
         if self.filters:
             df = df.filter(conjunction(self.filters))
-        if self.callbacks:
-            df = df.filter(fused(self.callbacks, list(self.table.schema)))
-        return df
+        return passing(df, self.callbacks) if self.callbacks else df
+
+    def _source(self) -> DataFrame:
+        """The table, or its copy in the order of the chosen index, of which a scan reads the matching ranges only."""
+        if self.filters and not self.callbacks and self.table.has_replicas():
+            plan = self._plan()
+            if plan["mode"] == "index" and plan["indexState"] == "fresh":
+                found = self.table.clustered(plan["source"], plan["column"])
+                if found is not None:
+                    return found
+        return self.table.frame()
 
     def rows(self) -> DataFrame:
-        """Rows of the query with their place; sorted only where offset or limit ask for it."""
+        """Rows of the query with their place.
+
+        A small window is a sorted take; any other is a range of places, found
+        by counting where the places have gaps or predicates leave some.
+        """
         df = self._matches()
-        if self.windowed:
-            df = df.orderBy(POS).offset(self.offset_rows)
-            if self.limit_rows is not None:
-                df = df.limit(self.limit_rows)
-        return df
+        if not self.windowed:
+            return df
+        if self.limit_rows == 0:
+            return df.limit(0)
+        if self.table.dense and not self.filters and not self.callbacks:
+            df = df.filter(F.col(POS) >= self.offset_rows)
+            return df if self.limit_rows is None else df.filter(F.col(POS) < self.offset_rows + self.limit_rows)
+        if self._small_window:
+            return df.orderBy(POS).offset(self.offset_rows).limit(self.limit_rows)
+        return windows.window(df, self.table.row_count, self.offset_rows, self.limit_rows)
+
+    @property
+    def _small_window(self) -> bool:
+        return self.limit_rows is not None and self.offset_rows + self.limit_rows <= windows.TAKEN_ROWS
 
     def frame(self) -> DataFrame:
-        """The result as a lazy DataFrame of the selected columns; in row order where offset or limit are set."""
-        return self.rows().select(*self.output)
+        """The result as a DataFrame of the selected columns; in row order where offset or limit are set.
+
+        Lazy, but for the counts that a large window over predicates needs.
+        """
+        df = self.rows()
+        return (df.orderBy(POS) if self.windowed else df).select(*map(col, self.output))
 
     def top_frame(self, n: int, name: str, largest: bool = True) -> DataFrame:
         n = check_count(n, "INVALID_LIMIT", 1)
         check_numeric(self.table.schema, name, "top" if largest else "bottom")
-        return self.rows().orderBy(F.desc(name) if largest else F.asc(name), POS).limit(n).select(*self.output)
+        return self.rows().orderBy(col(name).desc() if largest else col(name).asc(), POS).limit(n).select(*map(col, self.output))
 
     def aggregate_frame(self, wanted: dict[str, tuple[str, str]]) -> DataFrame:
         """One row of aggregates in one pass: {alias: (sum, avg, min, max or count, column)}."""
@@ -198,7 +223,7 @@ class Query:
         if q._nothing(ready):
             q._scan(ready)
             return []
-        found = q.rows().orderBy(POS).select(*q.output, POS).collect()
+        found = q.rows().orderBy(POS).select(*map(col, q.output), POS).collect()
         full = q.limit_rows is not None and len(found) == q.limit_rows
         q._scan(ready, found[-1][POS] if full and found else None)
         self.table.materialized_row_count += len(found)
@@ -305,7 +330,7 @@ class Query:
         self._run(run)
 
     def _streamed(self) -> Iterator[dict[str, Any]]:
-        for r in self.rows().orderBy(POS).select(*self.output).toLocalIterator(prefetchPartitions=True):
+        for r in self.rows().orderBy(POS).select(*map(col, self.output)).toLocalIterator(prefetchPartitions=True):
             self.table.materialized_row_count += 1
             yield r.asDict()
 

@@ -4,11 +4,15 @@ A table is a DataFrame with a hidden place for each row, a number of rows, and a
 index registry, all on the driver.  A mutation plans the next version from the
 current one, writes it to the shared folder while it counts the affected rows,
 and then takes its place; a failed mutation leaves the table as it was.  Small
-inserts wait on the driver and join the frame at the next read.
+inserts wait on the driver and join the frame at the next read; changes of one
+row wait there too, as the changed row beside a version without it, until there
+are MOST_HELD.  The files of a version go when KEPT_VERSIONS newer ones have
+come, so a frame stays readable for that long.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -19,14 +23,16 @@ from pyspark.sql import functions as F
 from rowloom.errors import EngineError
 from rowloom.operators.background import Rebuilds
 from rowloom.operators.query import Query
-from rowloom.plans import indexes
+from rowloom.plans import indexes, windows
 from rowloom.plans.filters import Filter, conjunction, make_filter
-from rowloom.schema import POS, Column, Schema, check_column, check_count, check_numeric, check_patch, check_row, check_row_index, check_schema, spark_schema
+from rowloom.schema import POS, Column, Schema, col, check_column, check_count, check_numeric, check_patch, check_row, check_row_index, check_schema, spark_schema
 from rowloom.sources import frames, snapshot, versions
 
 CAPACITY = 1024
 #: Frames that may be joined to a version before it is written anew.
 MOST_PARTS = 8
+#: Changed rows that may wait on the driver, and earlier versions whose files stay.
+MOST_HELD, KEPT_VERSIONS = 500, 2
 #: A cached table of fewer rows stays in the partitions it has.
 ROWS_PER_CORE = 10_000
 
@@ -44,7 +50,18 @@ class Table:
         self._parts = 0
         self._waiting: list[dict[str, Any]] = []
         #: Whether places are 0, 1, 2, ...; no longer after a delete.
-        self._dense = True
+        self.dense = True
+        #: Places that count no more in the base, and the rows that stand for some of them.
+        self._gone: set[int] = set()
+        self._kept: dict[int, dict[str, Any]] = {}
+        self._view: DataFrame | None = None
+        self._blocks: windows.Blocks | None = None
+        #: Folders of the base, and of the versions before it.
+        self._folders: set[str] = set()
+        self._retired: deque[set[str]] = deque()
+        self._cached: DataFrame | None = None
+        #: Number of the base; changed rows do not make another.
+        self._epoch = 0
         self.rebuilds = Rebuilds(self)
 
     # Sources
@@ -65,7 +82,8 @@ class Table:
         ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn(POS, F.monotonically_increasing_id())
         table = cls(df.sparkSession, schema, **options)
         settled = versions.settle(ordered, versions.PART_ROWS * df.rdd.getNumPartitions())
-        return table._load(settled, check, dense=False)
+        table._folders = {settled.path}
+        return table._load(settled.frame, check, dense=False)
 
     @classmethod
     def _of(cls, spark: SparkSession, schema: Schema, df: DataFrame, check: bool, **options: Any) -> Table:
@@ -74,13 +92,13 @@ class Table:
     def _load(self, df: DataFrame, check: bool, dense: bool) -> Table:
         """Take over a frame with places; unchecked rows are counted when their number is first asked for."""
         self._rows = frames.check_frame(df, self.schema) if check else None
-        self._base, self._dense = frames.conform(df, self.schema), dense
+        self._base, self.dense = frames.conform(df, self.schema), dense
         if check:
             self._counted()
         return self
 
     def _counted(self) -> None:
-        self._next = self._rows if self._dense else 1 << 62
+        self._next = self._rows if self.dense else 1 << 62
         self._grow(self._rows)
 
     @property
@@ -106,7 +124,8 @@ class Table:
         df = self.frame()
         if self.row_count > ROWS_PER_CORE:
             df = df.repartitionByRange(self.spark.sparkContext.defaultParallelism, POS).sortWithinPartitions(POS)
-        self._base = df.cache()
+        self._adopt(df.cache(), self._folders)
+        self._cached = self._base
         self._base.count()
         return self
 
@@ -115,30 +134,121 @@ class Table:
     def frame(self) -> DataFrame:
         """The current version with its hidden place column."""
         if self._waiting:
-            rows = self._waiting
-            columns = {n: [r[n] for r in rows] for n in (*self.schema, POS)}
-            kinds = {"ShortType": pa.int16(), "IntegerType": pa.int32(), "LongType": pa.int64(), "FloatType": pa.float32(), "DoubleType": pa.float64(), "BooleanType": pa.bool_(), "StringType": pa.string()}
-            fields = spark_schema(self.schema)
-            table = pa.table({f.name: pa.array(columns[f.name], kinds[type(f.dataType).__name__]) for f in fields})
-            df = self.spark.createDataFrame(table, fields)
+            df = self._local(self._waiting)
             self._base = df if self._base is None else self._base.unionByName(df)
-            self._waiting, self._parts = [], self._parts + 1
+            self._waiting, self._parts, self._view, self._epoch = [], self._parts + 1, None, self._epoch + 1
             if self._parts >= MOST_PARTS:
-                self._base, self._parts = versions.settle(self._base, self.row_count), 0
+                self._settle_view()
         if self._base is None:
             return self.spark.createDataFrame([], spark_schema(self.schema))
-        return self._base
+        return self._overlaid()
+
+    def _local(self, rows: list[dict[str, Any]]) -> DataFrame:
+        """Rows of the driver, with their places, as a frame."""
+        columns = {n: [r[n] for r in rows] for n in (*self.schema, POS)}
+        kinds = {"ShortType": pa.int16(), "IntegerType": pa.int32(), "LongType": pa.int64(), "FloatType": pa.float32(), "DoubleType": pa.float64(), "BooleanType": pa.bool_(), "StringType": pa.string()}
+        fields = spark_schema(self.schema)
+        table = pa.table({f.name: pa.array(columns[f.name], kinds[type(f.dataType).__name__]) for f in fields})
+        return self.spark.createDataFrame(table, fields)
+
+    def _overlaid(self) -> DataFrame:
+        """The base with the changed rows; filters reach both."""
+        if self._view is None:
+            self._view = self._with_changes(self._base)
+        return self._view
+
+    def _with_changes(self, base: DataFrame) -> DataFrame:
+        df = base.filter(~F.col(POS).isin(sorted(self._gone))) if self._gone else base
+        return df.unionByName(self._local([row | {POS: place} for place, row in self._kept.items()])) if self._kept else df
+
+    def has_replicas(self) -> bool:
+        return any(i.clustered for i in self.registry.all("equality", "sorted"))
+
+    def clustered(self, kind: str, name: str) -> DataFrame | None:
+        """The current rows from the copy in the order of an index, if there is one of this base."""
+        self.frame()
+        index = self.registry.by_kind[kind][name]
+        return self._with_changes(index.replica) if index.replica is not None and index.epoch == self._epoch else None
+
+    def _cluster(self, index: indexes.Index) -> None:
+        """Write the base in the order of the index; equal values are split by place, so none is too many for a task."""
+        self.frame()
+        if self._base is None or index.epoch == self._epoch:
+            return
+        ordered = self._base.repartitionByRange(versions.parts(self.row_count), col(index.column), POS).sortWithinPartitions(col(index.column), POS)
+        settled = versions.settle(ordered, self.row_count)
+        if index.replica_path:
+            self._retired.append({index.replica_path})
+        index.replica, index.replica_path, index.epoch = settled.frame, settled.path, self._epoch
+
+    def _settle_view(self) -> None:
+        settled = versions.settle(self._overlaid(), self.row_count)
+        self._adopt(settled.frame, {settled.path})
+
+    def _adopt(self, df: DataFrame, folders: set[str]) -> None:
+        """A new base that holds every change; files of versions long past go."""
+        old = self._folders - folders
+        self._base, self._folders, self._parts, self._epoch = df, folders, 0, self._epoch + 1
+        self._gone, self._kept, self._view, self._blocks = set(), {}, None, None
+        if self._cached is not None:
+            self._cached.unpersist()
+            self._cached = None
+        if old:
+            self._retired.append(old)
+        while len(self._retired) > KEPT_VERSIONS:
+            for path in self._retired.popleft():
+                versions.discard(self.spark, path)
+
+    def _replace(self, settled: versions.Version, rows: int) -> None:
+        self._adopt(settled.frame, {settled.path})
+        self.row_count = rows
+        self.version += 1
+
+    def release(self) -> None:
+        """Delete the files of all versions; the table and its frames cannot be read any more."""
+        replicas = {i.replica_path for i in self.registry.all() if i.replica_path}
+        for path in replicas.union(self._folders, *self._retired):
+            versions.discard(self.spark, path)
+        self._folders = set()
+        self._retired.clear()
 
-    def _replace(self, df: DataFrame, rows: int) -> None:
-        self._base, self._parts, self.row_count = df, 0, rows
+    def _change(self, place: int, row: dict[str, Any] | None) -> None:
+        """Another row, or none, at a place."""
+        if row is None:
+            self.row_count -= 1
+            self.dense = False
+        self._gone.add(place)
+        self._kept.pop(place, None)
+        if row is not None:
+            self._kept[place] = row
+        self._view = self._blocks = None
         self.version += 1
+        if len(self._gone) > MOST_HELD:
+            self._settle_view()
+
+    def _counts(self) -> windows.Blocks:
+        if self._blocks is None:
+            self._blocks = windows.count_blocks(self.frame(), self.row_count)
+        return self._blocks
 
     def row_of_place(self, place: int) -> int:
         """Row index of a place."""
-        return place if self._dense else self.frame().filter(F.col(POS) < place).count()
+        if self.dense:
+            return place
+        blocks = self._counts()
+        at = int(blocks.blocks.searchsorted(place >> blocks.bits))
+        if at == len(blocks.blocks):
+            return blocks.rows
+        first, _ = blocks.span(at)
+        return int(blocks.before[at]) + (self.frame().filter((F.col(POS) >= first) & (F.col(POS) < place)).count() if first < place else 0)
 
     def _place_of_row(self, i: int) -> int:
-        return i if self._dense else self.frame().select(POS).orderBy(POS).offset(i).limit(1).collect()[0][0]
+        return i if self.dense else windows.nth_place(self.frame(), self._counts(), i)
+
+    def _row_at(self, place: int) -> dict[str, Any]:
+        if place in self._kept:
+            return dict(self._kept[place])
+        return self._bare(self.frame().filter(F.col(POS) == place).collect()[0])
 
     # Inserts
 
@@ -166,6 +276,7 @@ class Table:
             self._waiting.append(row | {POS: self._next})
             self._next += 1
         self.row_count = more
+        self._blocks = None
         self._grow(more)
         self.version += 1
         self.registry.after_insert(rows)
@@ -174,14 +285,26 @@ class Table:
     def insert_frame(self, df: DataFrame, order_by: list[str]) -> Table:
         """Insert the rows of a DataFrame, all or none, in the order of some columns."""
         ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn(POS, F.monotonically_increasing_id())
-        more, before = versions.settle(ordered, versions.PART_ROWS * 8), self.row_count
-        rows = frames.check_frame(more, self.schema)
-        more = frames.conform(more, self.schema).withColumn(POS, F.col(POS) + F.lit(self._next))
-        for index in self.registry.all("unique"):
-            keys = self.frame().select(index.column).unionByName(more.select(index.column))
-            indexes.histogram(keys, index.column, before + rows, True)
-        self._replace(self.frame().unionByName(more), before + rows)
-        self._next, self._dense = self._next + (1 << 53), False
+        settled, before = versions.settle(ordered, versions.PART_ROWS * 8), self.row_count
+        try:
+            rows = frames.check_frame(settled.frame, self.schema)
+            more = frames.conform(settled.frame, self.schema).withColumn(POS, F.col(POS) + F.lit(self._next))
+            for index in self.registry.all("unique"):
+                keys = self.frame().select(col(index.column)).unionByName(more.select(col(index.column)))
+                indexes.histogram(keys, index.column, before + rows, True)
+        except EngineError:
+            versions.discard(self.spark, settled.path)
+            raise
+        if rows == 0:
+            versions.discard(self.spark, settled.path)
+            return self
+        parts = self._parts + 1
+        self._adopt(self.frame().unionByName(more), self._folders | {settled.path})
+        self.row_count, self._parts = before + rows, parts
+        self.version += 1
+        if parts >= MOST_PARTS:
+            self._settle_view()
+        self._next, self.dense = self._next + (1 << 53), False
         self._grow(self.row_count)
         self.registry.after_insert(None)
         return self
@@ -190,7 +313,7 @@ class Table:
         for index in self.registry.all("unique"):
             name = index.column
             keys = [r[name] for r in rows]
-            there = {r[0]: r[1] for r in self.frame().filter(F.col(name).isin(keys)).select(name, POS).collect()} if keys else {}
+            there = {r[0]: r[1] for r in self.frame().filter(col(name).isin(keys)).select(col(name), POS).collect()} if keys else {}
             seen: dict[Any, int] = {}
             for i, key in enumerate(keys):
                 detail = {"column": name, "key": key, "operation": operation or "insert"} | ({"inputIndex": i} if operation else {})
@@ -286,9 +409,7 @@ class Table:
     def get(self, row_index: int) -> dict[str, Any]:
         i = check_row_index(row_index, self.row_count)
         self.materialized_row_count += 1
-        if self._dense:
-            return self._bare(self.frame().filter(F.col(POS) == i).collect()[0])
-        return self._bare(self.frame().orderBy(POS).offset(i).limit(1).collect()[0])
+        return self._row_at(self._place_of_row(i))
 
     def _bare(self, row: Any) -> dict[str, Any]:
         return {n: row[n] for n in self.schema}
@@ -311,7 +432,13 @@ class Table:
 
     def update(self, row_index: int, patch: dict[str, Any]) -> dict[str, int]:
         place = self._place_of_row(check_row_index(row_index, self.row_count))
-        return self._update(F.col(POS) == place, check_patch(self.schema, patch), 1, "update")
+        return self._update_one(place, check_patch(self.schema, patch), "update")
+
+    def _update_one(self, place: int, values: dict[str, Any], operation: str) -> dict[str, int]:
+        self._check_update(F.col(POS) == place, values, 1, operation, None)
+        self._change(place, self._row_at(place) | values)
+        self.registry.after_update(values)
+        return {"affectedRows": 1}
 
     def update_matching(self, query: Query, patch: Any, ready: dict[str, Any]) -> dict[str, int]:
         """Rows that match now get the patch; selection is ignored."""
@@ -321,36 +448,38 @@ class Table:
             if query._nothing(ready):
                 return {"affectedRows": 0}
             return self._update(conjunction(query.filters) if query.filters else F.lit(True), values, None, "updateMany")
-        places = versions.settle(query.rows().select(F.col(POS).alias("__hit")), self.row_count)
-        n = places.count()
-        values = check_patch(self.schema, patch)
-        if n == 0:
-            return {"affectedRows": 0}
-        self._check_update(F.col("__hit").isNotNull(), values, n, "updateMany", places)
-        df = self.frame().join(places, F.col(POS) == F.col("__hit"), "left")
-        self._settle_update(df, F.col("__hit").isNotNull(), values)
-        return {"affectedRows": n}
+        settled = versions.settle(query.rows().select(F.col(POS).alias("__hit")), self.row_count)
+        try:
+            places = settled.frame
+            n = places.count()
+            values = check_patch(self.schema, patch)
+            if n:
+                self._check_update(F.col("__hit").isNotNull(), values, n, "updateMany", places)
+                df = self.frame().join(places, F.col(POS) == F.col("__hit"), "left")
+                self._settle_update(df, F.col("__hit").isNotNull(), values)
+            return {"affectedRows": n}
+        finally:
+            versions.discard(self.spark, settled.path)
 
     def _update(self, hit: Any, values: dict[str, Any], n: int | None, operation: str) -> dict[str, int]:
         if any(i.column in values for i in self.registry.all("unique")):
             n = self.frame().filter(hit).count() if n is None else n
-            if n == 0:
-                return {"affectedRows": 0}
-            self._check_update(hit, values, n, operation, None)
-        n = self._settle_update(self.frame(), hit, values)
-        return {"affectedRows": n}
+            if n:
+                self._check_update(hit, values, n, operation, None)
+        elif n is None:
+            # Nothing is written where nothing matches.
+            n = 0 if self.frame().filter(hit).limit(1).isEmpty() else None
+        return {"affectedRows": 0 if n == 0 else self._settle_update(self.frame(), hit, values)}
 
     def _settle_update(self, df: DataFrame, hit: Any, values: dict[str, Any]) -> int:
         """Write the next version and count its changes in one job."""
         seen = Observation()
         df = df.observe(seen, F.coalesce(F.sum(F.when(hit, 1).otherwise(0).cast("long")), F.lit(0)).alias("n"))
-        changed = [F.when(hit, F.lit(values[n]).cast(c.spark_type)).otherwise(F.col(n)).alias(n) if n in values else F.col(n) for n, c in self.schema.items()]
+        changed = [F.when(hit, F.lit(values[n]).cast(c.spark_type)).otherwise(col(n)).alias(n) if n in values else col(n) for n, c in self.schema.items()]
         settled = versions.settle(df.select(*changed, POS), self.row_count)
-        n = int(seen.get["n"])
-        if n:
-            self._replace(settled, self.row_count)
-            self.registry.after_update(values)
-        return n
+        self._replace(settled, self.row_count)
+        self.registry.after_update(values)
+        return int(seen.get["n"])
 
     def _check_update(self, hit: Any, values: dict[str, Any], n: int, operation: str, places: DataFrame | None) -> None:
         """A patch gives all its rows one key: more than one row, or another row that has it, is a duplicate."""
@@ -359,7 +488,7 @@ class Table:
                 continue
             key = values[index.column]
             df = self.frame() if places is None else self.frame().join(places, F.col(POS) == F.col("__hit"), "left")
-            if n > 1 or not df.filter((F.col(index.column) == F.lit(key)) & ~hit).limit(1).isEmpty():
+            if n > 1 or not df.filter((col(index.column) == F.lit(key)) & ~hit).limit(1).isEmpty():
                 raise EngineError("DUPLICATE_KEY", f'Column "{index.column}" would have the key {key!r} more than once.', {"column": index.column, "key": key, "operation": operation})
 
     def update_where(self, name: str, op: str, value: Any, patch: dict[str, Any]) -> dict[str, int]:
@@ -369,9 +498,7 @@ class Table:
         return self.where(predicate).update(patch)
 
     def delete(self, row_index: int) -> Table:
-        place = self._place_of_row(check_row_index(row_index, self.row_count))
-        self._replace(versions.settle(self.frame().filter(F.col(POS) != place), self.row_count), self.row_count - 1)
-        self._dense = False
+        self._change(self._place_of_row(check_row_index(row_index, self.row_count)), None)
         self.registry.after_delete(True)
         return self
 
@@ -379,19 +506,23 @@ class Table:
         query._scan(ready)
         if query._nothing(ready):
             return {"affectedRows": 0}
-        seen = Observation()
+        seen, places = Observation(), None
         if not query.windowed and not query.callbacks:
-            left = self.frame().filter(~conjunction(query.filters) if query.filters else F.lit(False))
+            hit = conjunction(query.filters) if query.filters else F.lit(True)
+            nothing, left = self.frame().filter(hit).limit(1).isEmpty(), self.frame().filter(~hit)
         else:
             # Written first: the same rows must be taken out that were matched.
             places = versions.settle(query.rows().select(F.col(POS).alias("__hit")), self.row_count)
-            left = self.frame().join(places, F.col(POS) == F.col("__hit"), "left_anti")
-        settled = versions.settle(left.observe(seen, F.count(F.lit(1)).alias("n")), self.row_count)
-        n = self.row_count - int(seen.get["n"])
-        if n:
+            nothing, left = places.frame.isEmpty(), self.frame().join(places.frame, F.col(POS) == F.col("__hit"), "left_anti")
+        n = 0
+        if not nothing:
+            settled = versions.settle(left.observe(seen, F.count(F.lit(1)).alias("n")), self.row_count)
+            n = self.row_count - int(seen.get["n"])
             self._replace(settled, self.row_count - n)
-            self._dense = False
+            self.dense = False
             self.registry.after_delete(False)
+        if places is not None:
+            versions.discard(self.spark, places.path)
         return {"affectedRows": n}
 
     def delete_many(self, predicate: dict[str, Any]) -> dict[str, int]:
@@ -407,7 +538,7 @@ class Table:
         key = self.schema[name].check(value, name)
         if index.state != "fresh":
             self.refresh(index)
-        found = self.frame().filter(F.col(name) == F.lit(key)).limit(1).collect()
+        found = self.frame().filter(col(name) == F.lit(key)).limit(1).collect()
         return found[0] if found else None
 
     def find_by(self, name: str, value: Any) -> dict[str, Any] | None:
@@ -417,14 +548,13 @@ class Table:
     def update_by(self, name: str, value: Any, patch: dict[str, Any]) -> dict[str, int]:
         row = self._by_key(name, value)
         values = check_patch(self.schema, patch)
-        return {"affectedRows": 0} if row is None else self._update(F.col(POS) == row[POS], values, 1, "updateBy")
+        return {"affectedRows": 0} if row is None else self._update_one(row[POS], values, "updateBy")
 
     def delete_by(self, name: str, value: Any) -> dict[str, int]:
         row = self._by_key(name, value)
         if row is None:
             return {"affectedRows": 0}
-        self._replace(versions.settle(self.frame().filter(F.col(POS) != row[POS]), self.row_count), self.row_count - 1)
-        self._dense = False
+        self._change(row[POS], None)
         self.registry.after_delete(True)
         return {"affectedRows": 1}
 
@@ -432,16 +562,20 @@ class Table:
 
     def refresh(self, index: indexes.Index) -> None:
         index.install(*indexes.histogram(self.frame(), index.column, self.row_count, index.kind == "unique"))
+        if index.clustered:
+            self._cluster(index)
 
-    def _create(self, kind: str, name: str) -> Table:
+    def _create(self, kind: str, name: str, clustered: bool = False) -> Table:
         self.registry.check_new(kind, name)
-        index = indexes.Index(kind, name)
+        index = indexes.Index(kind, name, clustered=clustered)
         self.refresh(index)
         self.registry.by_kind[kind][name] = index
         return self
 
     def _drop(self, kind: str, name: str) -> Table:
-        self.registry.get(kind, name)
+        index = self.registry.get(kind, name)
+        if index.replica_path:
+            self._retired.append({index.replica_path})
         del self.registry.by_kind[kind][name]
         return self
 
@@ -453,8 +587,9 @@ class Table:
         check_column(self.schema, name, "index")
         return name in self.registry.by_kind[kind]
 
-    def create_index(self, name: str) -> Table:
-        return self._create("equality", name)
+    def create_index(self, name: str, clustered: bool = False) -> Table:
+        """``clustered`` also writes the rows in the order of the column; queries that use the index then read from there."""
+        return self._create("equality", name, clustered)
 
     def drop_index(self, name: str) -> Table:
         return self._drop("equality", name)
@@ -471,8 +606,9 @@ class Table:
     def rebuild_index(self, name: str) -> Table:
         return self._rebuild("equality", name)
 
-    def create_sorted_index(self, name: str) -> Table:
-        return self._create("sorted", name)
+    def create_sorted_index(self, name: str, clustered: bool = False) -> Table:
+        """See ``create_index``."""
+        return self._create("sorted", name, clustered)
 
     def drop_sorted_index(self, name: str) -> Table:
         return self._drop("sorted", name)
@@ -570,7 +706,7 @@ class Table:
 
     def serialize(self, magic: bytes = snapshot.MAGIC) -> bytes:
         """The rows as one binary snapshot on the driver; ``save`` is for large tables."""
-        rows = self.frame().orderBy(POS).select(*self.schema).toArrow()
+        rows = self.frame().orderBy(POS).select(*map(col, self.schema)).toArrow()
         self._grow(self.row_count)
         return snapshot.encode(self.schema, rows, self.capacity, magic)
 
@@ -604,7 +740,7 @@ class Table:
         table._base = df
         found = df.agg(F.count(F.lit(1)), F.max(POS)).collect()[0]
         table.row_count, table._next = found[0], (found[1] + 1 if found[0] else 0)
-        table._dense = table._next == table.row_count
+        table.dense = table._next == table.row_count
         table._grow(table.row_count)
         return table
 

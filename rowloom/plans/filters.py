@@ -10,7 +10,7 @@ from pyspark.sql import Column as SparkColumn
 from pyspark.sql import functions as F
 
 from rowloom.errors import EngineError
-from rowloom.schema import Schema, check_column
+from rowloom.schema import Schema, check_column, col
 
 EQUALITY, RANGES, LISTS = ("=", "!="), (">", ">=", "<", "<="), ("in", "not in")
 #: Names of the conditions of an object predicate.
@@ -37,7 +37,7 @@ class Filter:
 
     def to_column(self) -> SparkColumn:
         """Literals stay as they are: a float32 column is compared as a double."""
-        c = F.col(self.column)
+        c = col(self.column)
         if self.op == "in":
             return c.isin(list(self.value))
         if self.op == "not in":

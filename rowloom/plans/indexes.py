@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from rowloom.errors import EngineError
 from rowloom.plans.filters import RANGES, Filter
-from rowloom.schema import Schema, check_column
+from rowloom.schema import Schema, check_column, col
 from rowloom.sources import versions
 
 #: Distinct values of an index on the driver, and about how many of a block beyond that.
 MAX_VALUES, BLOCK_VALUES = 1_000_000, 250_000
+#: Inserted values that are kept apart before they join the others.
+MOST_APART = 10_000
 #: An index is refused when it would leave more than this share of the rows.
 LARGEST_SHARE = 0.4
 KINDS = ("equality", "sorted", "unique")
@@ -99,19 +101,25 @@ class Index:
     distinct: int = 0
     stale_results: int = 0
     last_error: str | None = None
+    #: Whether the rows are also written in the order of the column; that copy, its folder, and the base it was made of.
+    clustered: bool = False
+    replica: DataFrame | None = None
+    replica_path: str = ""
+    epoch: int = -1
 
     def __post_init__(self) -> None:
-        self._place: dict[Any, int] = {}
-        #: Rows by value that were inserted since blocks were written.
+        #: Rows by value that were inserted since.
         self._more: Counter = Counter()
         self._before: np.ndarray | None = None
+        #: The values as numbers, for a sorted index.
+        self._numbers: np.ndarray | None = None
 
     def install(self, values: list | Blocks | None, counts: np.ndarray | None, rows: int, distinct: int) -> None:
         self.values, self.counts, self.rows, self.distinct = values, counts, rows, distinct
         self.state, self.dirty_reason, self.last_error = "fresh", None, None
-        self._place = {v: i for i, v in enumerate(values)} if isinstance(values, list) else {}
         self._more = Counter()
         self._before = np.concatenate([[0], np.cumsum(counts)]) if counts is not None else None
+        self._numbers = np.array(values, np.float64) if self.kind == "sorted" and isinstance(values, list) else None
 
     def mark_dirty(self, reason: str) -> None:
         self.state, self.dirty_reason = "dirty", reason
@@ -123,37 +131,37 @@ class Index:
         self.rows += len(rows)
         if self.values is None:
             return
+        new = Counter(row[self.column] for row in rows)
+        # In order, so that each block is read once.
+        self.distinct += sum(v not in self._more and not self._counted(v) for v in sorted(new))
+        self._more += new
         if isinstance(self.values, Blocks):
-            new = Counter(row[self.column] for row in rows)
-            # In order, so that each block is read once.
-            self.distinct += sum(v not in self._more and not self.values.count(v) for v in sorted(new))
-            self._more += new
             if len(self._more) > MAX_VALUES:
                 self.mark_dirty("insert")
-            return
-        found = dict(zip(self.values, self.counts.tolist() if self.counts is not None else [], strict=True))
-        for row in rows:
-            found[row[self.column]] = found.get(row[self.column], 0) + 1
-        values = sorted(found)
-        self.install(values, np.array([found[v] for v in values], np.int64), self.rows, len(values))
+        elif len(self._more) > MOST_APART:
+            found = Counter(dict(zip(self.values, self.counts.tolist(), strict=True))) + self._more
+            values = sorted(found)
+            self.install(values, np.array([found[v] for v in values], np.int64), self.rows, len(values))
+
+    def _counted(self, value: Any) -> int:
+        """Rows with the value, but for those inserted since."""
+        if isinstance(self.values, Blocks):
+            return self.values.count(value)
+        i = bisect_left(self.values, value)
+        return int(self.counts[i]) if i < len(self.values) and self.values[i] == value else 0
 
     def estimate(self, f: Filter) -> int | None:
         """Number of rows that the filter leaves, if this index can tell."""
-        if isinstance(self.values, Blocks):
-            if self.kind == "equality" and f.op in ("=", "in"):
-                return sum(self.values.count(v) + self._more[v] for v in sorted({f.value} if f.op == "=" else set(f.value)))
-            if self.kind == "sorted" and f.op in RANGES:
-                below = self.values.below(f.value, f.op in (">", "<="))
-                return below if f.op in ("<", "<=") else self.rows - below
-            return None
-        if self.values is None or self._before is None:
+        if self.values is None or (self._before is None and not isinstance(self.values, Blocks)):
             return None
         if self.kind == "equality" and f.op in ("=", "in"):
-            wanted = {f.value} if f.op == "=" else set(f.value)
-            return int(sum(self.counts[self._place[v]] for v in wanted if v in self._place))
+            return sum(self._counted(v) + self._more[v] for v in sorted({f.value} if f.op == "=" else set(f.value)))
         if self.kind == "sorted" and f.op in RANGES:
-            side = "right" if f.op in (">", "<=") else "left"
-            below = int(self._before[int(np.searchsorted(np.array(self.values, np.float64), f.value, side=side))])
+            also_equal = f.op in (">", "<=")
+            if isinstance(self.values, Blocks):
+                below = self.values.below(f.value, also_equal)
+            else:
+                below = int(self._before[int(np.searchsorted(self._numbers, f.value, side="right" if also_equal else "left"))])
             return below if f.op in ("<", "<=") else self.rows - below
         return None
 
@@ -171,7 +179,7 @@ class Index:
 
 def histogram(frame: DataFrame, name: str, rows: int, unique: bool) -> tuple[list | Blocks | None, np.ndarray | None, int, int]:
     """Distinct values with counts: partial aggregation on the executors, at most MAX_VALUES rows here, else blocks."""
-    grouped = frame.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    grouped = frame.groupBy(col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     if unique:
         # Keys are checked where they are; only their number comes here.
         twice = grouped.filter("n > 1").orderBy("v").limit(1).collect()

@@ -165,7 +165,7 @@ UNION ALL SELECT 'unique', 'c_custkey', r, r, r * 4 + r * 40 FROM n
 
 
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    t = _orders(spark, d).create_index("o_orderstatus").create_sorted_index("o_totalprice")
+    t = _orders(spark, d).create_index("o_orderstatus", clustered=True).create_sorted_index("o_totalprice")
     return t.where({"o_orderstatus": "P", "o_totalprice": {"lt": 90000.0}}).select(["o_orderkey", "o_totalprice"]).frame()
 
 

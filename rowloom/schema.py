@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Column as SparkColumn
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.errors import EngineError
@@ -92,12 +94,27 @@ column = _Columns()
 Schema = dict[str, Column]
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> SparkColumn:
+    """The column of that name."""
+    return F.col(quoted(name))
+
+
 def check_schema(schema: Any) -> Schema:
+    """A schema as a dict.  Spark finds columns without regard to case, so names that differ in case only are refused."""
     if not isinstance(schema, dict) or not schema:
         raise EngineError("INVALID_SCHEMA", "A schema maps at least one name to a column.")
+    folded: set[str] = set()
     for name, c in schema.items():
         if not isinstance(name, str) or not name or name == POS:
             raise EngineError("INVALID_COLUMN", f"A column name is a non-empty string other than {POS}.")
+        if name.lower() in folded or name.lower() == POS:
+            raise EngineError("INVALID_COLUMN", f"Column {name!r} differs from another in case only.", {"column": name})
+        folded.add(name.lower())
         if not isinstance(c, Column) or c.kind not in ("numeric", "boolean", "dictionary"):
             raise EngineError("INVALID_COLUMN_TYPE", f'Column "{name}" is not a column definition.')
         if c.kind == "numeric" and c.type not in INTEGERS and c.type not in FLOATS:

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.errors import EngineError
-from rowloom.schema import INTEGERS, POS, Schema
+from rowloom.schema import INTEGERS, POS, Schema, col
+
+#: Bytes of file names that may be sent to every executor.
+MOST_NAMES = 64 << 20
+
+
+def _as_path(uri: str) -> str:
+    """An encoded URI of a file as the scan names the file."""
+    u = urlsplit(uri)
+    return f"{u.scheme}:" + (f"//{u.netloc}" if u.netloc else "") + unquote(u.path)
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -19,22 +31,26 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     files = sorted(df.inputFiles())
     base = F.col("_metadata.row_index")
     if len(files) > 1:
-        ranks = spark.createDataFrame([(f.rsplit("/", 1)[-1], i) for i, f in enumerate(files)], "__file string, __rank long")
-        df = df.withColumn("__file", F.col("_metadata.file_name")).withColumn("__row", base).join(ranks, "__file")
-        return df.withColumn(POS, F.col("__rank") * F.lit(1 << 40) + F.col("__row")).drop("__file", "__row", "__rank")
+        # By the whole path: files of different folders may have the same name.
+        ranks = spark.createDataFrame(pa.table({"__file": [_as_path(f) for f in files], "__rank": pa.array(range(len(files)), pa.int64())}))
+        if sum(map(len, files)) <= MOST_NAMES:
+            ranks = F.broadcast(ranks)
+        df = df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", base).join(ranks, "__file", "left")
+        rank = F.coalesce("__rank", F.raise_error(F.concat(F.lit("no rank for the file "), "__file")).cast("long"))
+        return df.withColumn(POS, rank * F.lit(1 << 40) + F.col("__row")).drop("__file", "__row", "__rank")
     return df.withColumn(POS, base)
 
 
 def conform(df: DataFrame, schema: Schema) -> DataFrame:
     """Columns of the schema, as stored, and the place."""
-    return df.select(*(F.col(n).cast(c.spark_type).alias(n) for n, c in schema.items()), POS)
+    return df.select(*(col(n).cast(c.spark_type).alias(n) for n, c in schema.items()), POS)
 
 
 def check_frame(df: DataFrame, schema: Schema) -> int:
     """Number of rows of a frame all of whose values fit the schema; one aggregation finds a violation."""
     faults = []
     for n, c in schema.items():
-        v = F.col(n)
+        v = col(n)
         if c.kind == "dictionary":
             rules = [("UNKNOWN_VALUE", v.isNull() | ~v.isin(list(c.values)))]
         elif c.kind == "boolean":
