@@ -20,26 +20,27 @@ Counts cover all training text, and every bigram and trigram of it is retained
 
 Texts are turned into token ids once, as soon as level 1 is there; the passes
 that count and score read the ids.  Every pass pre-aggregates in the worker and ships packed blocks per shard, so a
-frequent n-gram costs one entry for each block, not one for each occurrence.
+frequent n-gram costs one entry for each block, not one for each occurrence; a
+block holds the gaps between its sorted n-grams, about three bytes for each.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm import store
-from rowloom.llm.arrow import slices, texts_of
+from rowloom.llm import packed, store
+from rowloom.llm.arrow import slices
 from rowloom.llm.elias_fano import Sequence
-from rowloom.llm.scratch import fresh_path
-from rowloom.llm.workers import held
+from rowloom.llm.scratch import fresh_path, shuffles_dropped
+from rowloom.llm.workers import forget_long, held
 
 MIN_COUNT = 1
 DISCOUNT = 0.75
@@ -47,7 +48,7 @@ LAST_LEVEL = 3
 #: Documents to a shard, on average, and the most shards (as powers of two).
 SHARD_DOCS, MAX_SHARD_BITS = 4096, 14
 #: Entries of a worker's vocabulary cache, characters and tokens of a slice, keys of a block.
-CACHE_WORDS, SLICE_CHARS, SLICE_TOKENS, BLOCK_KEYS = 600_000, 1_000_000, 200_000, 4_000_000
+CACHE_WORDS, SLICE_CHARS, SLICE_TOKENS, BLOCK_KEYS = 600_000, 2_000_000, 200_000, 4_000_000
 #: The end of a text; white space, so no word equals it.
 END = b"\n"
 #: Codes cover logarithms from 0 to -CODE_RANGE.
@@ -56,7 +57,7 @@ CODE_RANGE = 10.0
 UNKNOWN = 0xFFFFFFFF
 
 U64 = np.uint64
-#: Multiplying by one spreads n-grams over all 64-bit numbers, by the other takes that back.
+#: Multiplying by one spreads n-grams over all numbers of some bits, by the other takes that back.
 _SPREAD = U64(0x9E3779B97F4A7C15)
 _GATHER = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -75,13 +76,26 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges.tolist(), [*edges[1:].tolist(), len(values)][: len(edges)], strict=True)
 
 
-def words_of(texts: list[str]) -> list[list[bytes]]:
-    """Lower-cased (A-Z) words between ASCII white space, and one end."""
-    return [[*t.encode().lower().split(), END] for t in texts]
+def words_of(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Of slices of a text column: the distinct tokens, the number of each token in order, and the number of tokens of each text.
+
+    Tokens are lower-cased (A-Z) words between ASCII white space, and one end
+    behind each text, which is the last of the distinct ones.  Null is empty.
+    """
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), SLICE_CHARS):
+        texts = pc.ascii_trim_whitespace(pc.ascii_lower(column.slice(a, b - a)))
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), None, texts)
+        words = pc.ascii_split_whitespace(texts)
+        lengths = pc.fill_null(words.value_lengths(), 0).to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        number = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(lengths), len(distinct))
+        yield [*distinct, END], number, lengths + 1
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    # Mostly sorted runs one after the other, which this sort merges.
+    order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -90,9 +104,10 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
     """Sorted keys as one row for each shard that has some; shard b holds keys below bounds[b]."""
     ends = np.searchsorted(keys, bounds)
+    # The last bound may be the largest number itself.
+    ends[-1] = len(keys)
     rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if lo < hi]
-    high, low = (keys >> U64(32)).astype(np.uint32), keys.astype(np.uint32)
-    data = [high[a:e].tobytes() + low[a:e].tobytes() + counts[a:e].astype(np.uint32).tobytes() for _, a, e in rows]
+    data = [packed.pack(keys[a:e], counts[a:e]) for _, a, e in rows]
     return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int64()), pa.array(data, pa.binary())], ["shard", "block"])
 
 
@@ -100,9 +115,9 @@ def _unblocked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
     for chunk in table["block"].chunks:
         for block in chunk:
-            a = np.frombuffer(block.as_buffer(), np.uint32).reshape(3, -1)
-            keys.append((a[0].astype(U64) << U64(32)) | a[1].astype(U64))
-            counts.append(a[2].astype(np.int64))
+            one, two = packed.unpack(block.as_buffer())
+            keys.append(one)
+            counts.append(two)
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -136,15 +151,47 @@ class Model:
         #: Number of ids before each shard, and the total: by level.
         self.starts: dict[int, np.ndarray] = {}
 
+    def follow_bits(self, level: int) -> int:
+        """Bits of what follows a context in the keys of the level: a token, or its place among successors."""
+        return max(1, (self.types if level == 2 else self.rel + 1).bit_length())
+
+    def key_bits(self, level: int) -> int:
+        """Bits of a key of the level: a context, and behind it what follows."""
+        bits = self.follow_bits(level) + max(1, int(self.starts[level - 1][-1]).bit_length())
+        if bits > 64:
+            raise ValueError(f"an n-gram of level {level} needs {bits} bits")
+        return max(bits, self.bits)
+
+    def keys(self, level: int, context: np.ndarray, follow: np.ndarray) -> np.ndarray:
+        return (context.astype(U64) << U64(self.follow_bits(level))) | follow.astype(U64)
+
+    def parts(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of keys, and what follows them."""
+        bits = self.follow_bits(level)
+        return (keys >> U64(bits)).astype(np.int64), keys & U64((1 << bits) - 1)
+
     def bounds(self, level: int) -> np.ndarray:
-        """Exclusive upper key of each shard for contexts of the level."""
-        return self.starts[level][1:].astype(U64) << U64(32)
+        """Exclusive upper key of each shard of the level."""
+        return self.starts[level - 1][1:].astype(U64) << U64(self.follow_bits(level))
+
+    def even(self, level: int) -> np.ndarray:
+        """Exclusive upper key of each shard when keys are spread over their bits."""
+        ends = np.arange(1, (1 << self.bits) + 1, dtype=U64)
+        bits = self.key_bits(level) - self.bits
+        with np.errstate(over="ignore"):
+            ends = ends << U64(bits) if bits < 64 else ends
+        if self.key_bits(level) == 64:
+            ends[-1] = np.iinfo(U64).max
+        return ends
+
+    def spread(self, level: int, keys: np.ndarray, back: bool = False) -> np.ndarray:
+        """A bijection of the keys of the level that deals neighbours to all shards."""
+        mask = U64((1 << self.key_bits(level)) - 1)
+        with np.errstate(over="ignore"):
+            return (keys * (_GATHER if back else _SPREAD)) & mask
 
     def set_level(self, level: int, sizes: dict[int, int]) -> None:
         self.starts[level] = np.concatenate([[0], np.cumsum([sizes.get(b, 0) for b in range(1 << self.bits)])]).astype(np.int64)
-        # Entries of the last level are no contexts, so their number has no bound.
-        if level < LAST_LEVEL and self.starts[level][-1] >= 1 << 32:
-            raise ValueError(f"level {level} has more than 2**32 entries")
 
     @functools.cached_property
     def cut(self) -> np.ndarray:
@@ -179,7 +226,7 @@ class Reader:
     def by_shard(self, level: int, index: np.ndarray) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
         """Shard, places in ``index`` and local indices, for indices of the level's ids (-1: none)."""
         starts = self.model.starts[level]
-        shard = np.searchsorted(starts, index, side="right").astype(np.int32) - 1
+        shard = np.searchsorted(starts, index, side="right") - 1
         order = np.argsort(shard.astype(np.int16), kind="stable")
         order = order[index[order] >= 0]
         for a, e in _runs(shard[order]):
@@ -208,9 +255,11 @@ class Reader:
     def ids(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        new = list(set(words).difference(self.known))
+        new = [w for w in words if w not in self.known]
         self.known.update(zip(new, self.look_up(new).tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        forget_long(self.known, new)
+        return out
 
     def tokens(self, ids: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token its count, and with ``more`` its weight as a context and where its successors begin."""
@@ -234,10 +283,11 @@ class Reader:
         found, p = np.full(len(context), -1, np.int64), np.zeros(len(context))
         asked = np.flatnonzero((context >= 0) & (following >= 0))
         # Each distinct pair once, in order: neighbours lie together in the level.
-        pair, inverse = np.unique((context[asked].astype(U64) << U64(32)) | following[asked].astype(U64), return_inverse=True)
+        pair, inverse = np.unique(self.model.keys(level + 1, context[asked], following[asked]), return_inverse=True)
         at_pair, p_pair = np.full(len(pair), -1, np.int64), np.zeros(len(pair))
-        for shard, places, local in self.by_shard(level, (pair >> U64(32)).astype(np.int64)):
-            keys = local.astype(U64) * U64(shard["universe"][0]) + (pair[places] & U64(0xFFFFFFFF))
+        contexts, follow = self.model.parts(level + 1, pair)
+        for shard, places, local in self.by_shard(level, contexts):
+            keys = local.astype(U64) * U64(shard["universe"][0]) + follow[places]
             bit = _bit(keys, len(shard["filter"]))
             maybe = np.flatnonzero(shard["filter"][bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             at = shard["succ"].find(keys[maybe])
@@ -275,15 +325,9 @@ def _id_slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids, ends[a:b] - ends[a]
 
 
-def _flat(texts: list[str]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """Slices of texts: first text, all tokens, and the number of tokens of each text."""
-    for a, b in slices(map(len, texts), SLICE_CHARS):
-        split = words_of(texts[a:b])
-        yield a, [w for ws in split for w in ws], np.fromiter(map(len, split), np.int64, b - a)
-
-
 def _grouped(blocks: DataFrame, reduce) -> list:
-    return blocks.groupBy("shard").applyInArrow(reduce, "shard long, size long, total long, most long").collect()
+    with shuffles_dropped(blocks.sparkSession):
+        return blocks.groupBy("shard").applyInArrow(reduce, "shard long, size long, total long, most long").collect()
 
 
 def _result(shard: int, size: int, total: int, most: int) -> pa.Table:
@@ -294,26 +338,17 @@ def _count_tokens(texts: DataFrame, model: Model) -> None:
     bounds = np.concatenate([model.cut, [np.iinfo(U64).max]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), U64, len(counts))
-            n = np.fromiter(counts.values(), np.int64, len(counts))
-            counts.clear()
-            return _blocks(*_summed(h, n), bounds)
-
+        gatherer = Gatherer(bounds)
         for batch in batches:
-            for _, words, _ in _flat(texts_of(batch.column(0))):
-                counts.update(words)
-                if len(counts) > CACHE_WORDS:
-                    yield flush()
-        if counts:
-            yield flush()
+            for words, number, _ in words_of(batch.column(0)):
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
+                yield from gatherer.add(*_summed(h, np.bincount(number, minlength=len(words))))
+        yield from gatherer.flush()
 
     def reduce(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         keys, counts = _unblocked(table)
-        store.write(f"{model.folder}/1-{shard:05d}", {"hash": keys, "count": counts})
+        store.write(f"{model.folder}/1-{shard:05d}", {"hash": keys, "count": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64)})
         return _result(shard, len(keys), counts.sum(), counts.max())
 
     found = _grouped(texts.mapInArrow(run, "shard long, block binary"), reduce)
@@ -328,8 +363,8 @@ def _bit(keys: np.ndarray, size: int) -> np.ndarray:
 
 
 def _filter(keys: np.ndarray) -> np.ndarray:
-    """About a byte for each key; a key whose bit is not set is not in the level."""
-    size = 1 << max(3, len(keys)).bit_length()
+    """Four to eight bits for each key; a key whose bit is not set is not in the level."""
+    size = 1 << max(3, len(keys).bit_length() - 1)
     flags = np.zeros(size * 8, bool)
     flags[_bit(keys, size)] = True
     return np.packbits(flags, bitorder="little")
@@ -339,16 +374,21 @@ def _write_level(model: Model, level: int, shard: int, keys: np.ndarray, counts:
     """Write the retained n-grams below the shard's contexts; their number and the most below one context."""
     start, end = model.starts[level - 1][shard : shard + 2]
     contexts, universe = int(end - start), model.types if level == 2 else model.rel + 1
-    context, follow = (keys >> U64(32)).astype(np.int64) - start, keys & U64(0xFFFFFFFF)
+    context, follow = model.parts(level, keys)
+    context -= start
     # All that followed a context, retained or not: as often as the context itself occurred.
-    totals = store.read(f"{model.folder}/{level - 1}-{shard:05d}")["count"].astype(np.float64)
+    if level == 2:
+        totals = store.read(f"{model.folder}/1-{shard:05d}")["count"].astype(np.float64)
+    else:
+        _, totals = packed.unpack(store.read_bytes(f"{model.folder}/{level - 1}-{shard:05d}-count"))
     p = (counts - DISCOUNT) / totals[context]
     sizes = np.bincount(context, minlength=contexts)
     weight = 1 - np.bincount(context, p, contexts)
     keys = context.astype(U64) * U64(universe) + follow
     parts = {"prob": encode_log(p), "weight": encode_log(np.maximum(weight, 1e-10)), "universe": np.array([universe], np.int64), "filter": _filter(keys)}
     if level < LAST_LEVEL:
-        parts["count"] = counts.astype(np.uint32)
+        # For the next level only.
+        store.write_bytes(f"{model.folder}/{level}-{shard:05d}-count", packed.pack(np.zeros(len(counts), U64), counts))
     parts |= {f"succ.{k}": v for k, v in Sequence.build(keys, contexts * universe).items()}
     parts |= {f"ptr.{k}": v for k, v in Sequence.build(np.concatenate([[0], np.cumsum(sizes)]), len(follow) + 1).items()}
     store.write(f"{model.folder}/{level}-{shard:05d}", parts)
@@ -361,8 +401,7 @@ def _count_ngrams(texts: DataFrame, model: Model, level: int) -> None:
     Counts are summed by a hash of the whole n-gram, so that a frequent context
     is dealt over all shards; only what is retained goes on to its context.
     """
-    bounds = model.bounds(level - 1)
-    even = np.append(model.cut, np.iinfo(U64).max)
+    bounds, even = model.bounds(level), model.even(level)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, gatherer = _reader(model), Gatherer(even)
@@ -371,21 +410,19 @@ def _count_ngrams(texts: DataFrame, model: Model, level: int) -> None:
                 if level == 2:
                     inner = np.ones(len(ids), bool)
                     inner[starts] = False
-                    keys = ((ids[:-1].astype(U64) << U64(32)) | ids[1:].astype(U64))[inner[1:]]
+                    keys = model.keys(level, ids[:-1], ids[1:])[inner[1:]]
                 else:
                     _, _, begins = reader.tokens(ids, True)
                     found, place, _ = reader.pairs(ids, begins, starts)
                     both = (found[:-1] >= 0) & (place[1:] >= 0)
-                    keys = (found[:-1][both].astype(U64) << U64(32)) | place[1:][both].astype(U64)
-                with np.errstate(over="ignore"):
-                    yield from gatherer.add(keys * _SPREAD)
+                    keys = model.keys(level, found[:-1][both], place[1:][both])
+                yield from gatherer.add(model.spread(level, keys))
         yield from gatherer.flush()
 
     def retain(table: pa.Table) -> pa.Table:
         keys, counts = _unblocked(table)
         keep = counts >= MIN_COUNT
-        with np.errstate(over="ignore"):
-            keys = keys[keep] * _GATHER
+        keys = model.spread(level, keys[keep], True)
         return pa.Table.from_batches([_blocks(*_summed(keys, counts[keep]), bounds)])
 
     def reduce(table: pa.Table) -> pa.Table:
@@ -414,9 +451,10 @@ def _identified(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
         reader = _reader(model)
         for batch in batches:
             data = []
-            for _, words, lengths in _flat(texts_of(batch.column(at))):
-                ids = reader.ids(words).astype(np.uint32)
-                data += [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+            for words, number, lengths in words_of(batch.column(at)):
+                ids = reader.ids(words).astype(np.uint32)[number].tobytes()
+                ends = (4 * np.cumsum(lengths)).tolist()
+                data += [ids[a:e] for a, e in zip([0, *ends], ends, strict=False)]
             others = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*others, pa.array(data, pa.binary())], [*rest, "ids"])
 

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names the folder.  Where it is unset (tests on one
-machine) a folder of our own is made and set.  A stashed table is plain Parquet:
+``spark.checkpoint.dir`` names the folder.  Where it is unset and everything runs
+on one machine, as in tests, a folder of our own is made and set.  A stashed table is plain Parquet:
 it is complete once written, so a lost executor never costs more than the stage
 that is running.
 """
@@ -11,7 +11,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all processes of the application."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rowloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -38,7 +41,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +55,18 @@ def drop(spark: SparkSession, path: str) -> None:
     _live[:] = [x for x in _live if x[1] != path]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end inside go when their query does, not at the driver's next collection of garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def result_only(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For functions with narrow results: write the result, then delete what was stashed on the way."""
 
@@ -73,5 +89,10 @@ def release_all() -> None:
         drop(spark, path)
 
 
+def salts(spark: SparkSession) -> int:
+    """Shares into which the rows of one key are dealt: several for each task of a shuffle, however many those are."""
+    return max(96, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def unique() -> str:
     return uuid.uuid4().hex[:12]

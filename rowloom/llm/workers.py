@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import TypeVar
 
 import pyarrow as pa
 
 T = TypeVar("T")
+#: Words up to this length are worth remembering; so many words bound the bytes too.
+LONG_WORD = 128
 _held: dict[object, object] = {}
 #: glibc's number of the setting, and the size from which a block is one of its own.
 _MMAP_THRESHOLD, _LARGE = -3, 2 << 20
@@ -38,3 +40,10 @@ def held(key: object, make: Callable[[], T]) -> T:
             _libc.malloc_trim(0)
         _held[key] = make()
     return _held[key]
+
+
+def forget_long(memory: dict, words: Iterable) -> None:
+    """Take long ones of the words just learned out of a memory of words, so that its number of entries bounds its bytes."""
+    for w in words:
+        if len(w) > LONG_WORD:
+            memory.pop(w, None)
