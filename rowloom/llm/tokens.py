@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from rowloom.llm.arrow import slices, texts_of
-from rowloom.llm.workers import held
+from rowloom.llm.workers import LONG_WORD, forget_long, held
 
 #: Entries of a worker's cache; a full cache is emptied, so memory is bounded.
 CACHE_ENTRIES = 500_000
@@ -98,6 +98,8 @@ class Counter:
         self._merge({p for pre in split for p in pre})
         for w, pre in zip(new, split, strict=True):
             self.words[w] = self._size(pre)
+            if len(w) > LONG_WORD:
+                forget_long(self.merged, pre)
 
     def _pre_tokens(self, word: str) -> list[str]:
         """Pre-tokens of a word with one space before it."""
@@ -147,7 +149,10 @@ class Counter:
         self._learn(words)
         self._merge(others)
         get = self.words.__getitem__
-        return [fixed + sum(map(get, own)) + self._size(rest) for fixed, own, rest in split]
+        out = [fixed + sum(map(get, own)) + self._size(rest) for fixed, own, rest in split]
+        forget_long(self.words, words)
+        forget_long(self.merged, others)
+        return out
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +205,9 @@ class Encoder:
         found = self.merged.get(pre_token)
         if found is None:
             tokens = self.tokenizer.model.tokenize(pre_token.encode().decode("latin-1").translate(_SHOWN))
-            found = self.merged[pre_token] = array.array("I", [t.id for t in tokens]).tobytes()
+            found = array.array("I", [t.id for t in tokens]).tobytes()
+            if len(pre_token) <= LONG_WORD:
+                self.merged[pre_token] = found
         return found
 
     def _learn(self, words: set[str]) -> None:
@@ -225,10 +232,12 @@ class Encoder:
                 self.words.clear()
                 self.merged.clear()
             split = [None if _control(t) else t.split() for t in texts[a:b]]
-            self._learn(set().union(*(s for s in split if s)))
+            words = set().union(*(s for s in split if s))
+            self._learn(words)
             get = self.words.__getitem__
             for t, s in zip(texts[a:b], split, strict=True):
                 yield self._whole([t])[0] if s is None else b"".join(map(get, s))
+            forget_long(self.words, words)
 
 
 def _control(text: str) -> bool:
