@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm import packed, store
-from rowloom.llm.arrow import slices
+from rowloom.llm.arrow import coded_words, slices
 from rowloom.llm.elias_fano import Sequence
 from rowloom.llm.scratch import fresh_path, shuffles_dropped
 from rowloom.llm.workers import forget_long, held
@@ -83,14 +83,8 @@ def words_of(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.nda
     behind each text, which is the last of the distinct ones.  Null is empty.
     """
     for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), SLICE_CHARS):
-        texts = pc.ascii_trim_whitespace(pc.ascii_lower(column.slice(a, b - a)))
-        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), None, texts)
-        words = pc.ascii_split_whitespace(texts)
-        lengths = pc.fill_null(words.value_lengths(), 0).to_numpy().astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        number = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(lengths), len(distinct))
-        yield [*distinct, END], number, lengths + 1
+        distinct, number, lengths = coded_words(column.slice(a, b - a))
+        yield [*distinct, END], np.insert(number, np.cumsum(lengths), len(distinct)), lengths + 1
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
