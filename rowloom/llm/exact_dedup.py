@@ -15,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.scratch import stash
+from rowloom.llm.scratch import salts, stash
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 256
-#: Shares into which the rows of one key are dealt.
-SALTS = 96
 
 
 def normalised(text: Column) -> Column:
@@ -54,11 +52,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that length and prefix have not told apart.
     """
     text = normalised(F.col(text_col))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts(docs.sparkSession))).cast("int").alias("salt")
     narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
         "doc_id",
         F.octet_length("t").alias("size"),
         F.xxhash64(F.substring("t", 1, PREFIX_CHARS)).alias("head"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        salt,
         *([F.sha2("t", 256).alias("sha")] if all_digests else []),
     )
     narrow = stash(narrow, "exact-narrow")
@@ -77,7 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         same = [full[c].eqNullSafe(wanted[c]) for c in ("doc_id", "size", "head")]
         left = full.join(wanted, same, "left_semi").select(
-            "doc_id", "size", "head", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.sha2("t", 256).alias("sha")
+            "doc_id", "size", "head", salt, F.sha2("t", 256).alias("sha")
         )
         left = stash(left, "exact-full")
     last = _refine(left, ["size", "head", "sha"])

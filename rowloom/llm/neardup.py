@@ -25,8 +25,19 @@ groups leave the task, so a group of n texts yields fewer than n links and never
 its pairs.  Pairs whose signatures agree in less than LIKELY of the components
 are too far below the threshold to be read.
 
+Large mixed buckets.  Texts with much in common can share a bucket without being
+near duplicates, and then there are as many groups as texts.  Nodes of such
+buckets of more than SMALL_BUCKET meet by their rare shingles instead.  With the
+shingles of all multisets in one order, two multisets similar enough share one of
+those that begin within the first (1 - THRESHOLD) of either's weight; in an order
+by rising frequency (counted in a table of fixed size; any order is right) these
+are rare ones, and what is common to a bucket stands at the end.  So nothing is
+lost, and a node costs a row for each rare shingle, however large the bucket.
+Where many nodes of different groups share even a rare shingle, they are dealt
+into pairs of parts of bounded size.
+
 Every candidate is verified on the exact multisets (48 bits of each shingle's
-hash).
+hash, with full counts).
 """
 
 from __future__ import annotations
@@ -35,12 +46,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.arrow import slices, texts_of
-from rowloom.llm.scratch import result_only, stash
+from rowloom.llm.arrow import coded_words, slices
+from rowloom.llm.scratch import result_only, salts, stash
 from rowloom.llm.workers import held
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -48,10 +60,15 @@ BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
 #: Agreement of signatures below which a pair is not read: five deviations under the threshold.
 LIKELY = 0.55
-#: Candidates compared at once, and nodes to a share of a large bucket.
-NEAREST, SHARE_NODES = 64, 500
-SALTS = 96
-CACHE_WORDS, SLICE_CHARS = 400_000, 1_000_000
+#: Candidates compared at once, and nodes of a bucket that are compared in one task.
+NEAREST, SMALL_BUCKET = 64, 500
+#: Nodes that share a rare shingle and are paired directly, and nodes of a part beyond that.
+FEW_NODES, PART_NODES = 32, 250
+#: Size, as a power of two, of the table that counts shingles, and of the parts it travels in.
+TABLE_BITS, CHUNK_BITS = 20, 16
+#: Pairs of one node from which on its row is dealt to several tasks.
+HOT_PAIRS = 5_000
+SLICE_CHARS = 1_000_000
 
 U64 = np.uint64
 _BASE = U64(0x9FB21C651E98DF25)
@@ -65,45 +82,33 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-class Bags:
-    """Shingle multisets of texts; keeps word hashes between calls."""
-
-    def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, shingle hash and count, sorted by text and hash."""
-        split = [t.encode().lower().split() for t in texts]
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = set().union(*split).difference(known)
-        known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
-        flat = np.fromiter((known[w] for ws in split for w in ws), U64)
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        starts = np.cumsum(lengths) - lengths
-        doc = np.repeat(np.arange(len(split)), lengths)
-        with np.errstate(over="ignore"):
-            n = max(0, len(flat) - SHINGLE + 1)
-            h = np.zeros(n, U64)
-            for i in range(SHINGLE):
-                h = h * _BASE + flat[i : i + n]
-            whole = doc[:n] == doc[SHINGLE - 1 :][:n] if n else np.zeros(0, bool)
-            h, owner = h[whole], doc[:n][whole]
-            short = np.flatnonzero((lengths > 0) & (lengths < SHINGLE))
-            if len(short):
-                extra = np.zeros(len(short), U64)
-                for k, d in enumerate(short):
-                    for x in flat[starts[d] : starts[d] + lengths[d]]:
-                        extra[k] = extra[k] * _BASE + x
-                h, owner = np.concatenate([h, extra + U64(1)]), np.concatenate([owner, short])
-        h = mix(h)
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(first)
-        return owner[at], h[at], np.diff(np.append(at, len(h)))
+def bags_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle multisets of texts: text number, shingle hash and count, sorted by text and hash."""
+    words, number, lengths = coded_words(texts)
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))[number]
+    starts = np.cumsum(lengths) - lengths
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    with np.errstate(over="ignore"):
+        n = max(0, len(flat) - SHINGLE + 1)
+        h = np.zeros(n, U64)
+        for i in range(SHINGLE):
+            h = h * _BASE + flat[i : i + n]
+        whole = doc[:n] == doc[SHINGLE - 1 :][:n] if n else np.zeros(0, bool)
+        h, owner = h[whole], doc[:n][whole]
+        short = np.flatnonzero((lengths > 0) & (lengths < SHINGLE))
+        if len(short):
+            extra = np.zeros(len(short), U64)
+            for k, d in enumerate(short):
+                for x in flat[starts[d] : starts[d] + lengths[d]]:
+                    extra[k] = extra[k] * _BASE + x
+            h, owner = np.concatenate([h, extra + U64(1)]), np.concatenate([owner, short])
+    h = mix(h)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(first)
+    return owner[at], h[at], np.diff(np.append(at, len(h)))
 
 
 def signatures(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, size: int = SIZE) -> np.ndarray:
@@ -118,7 +123,6 @@ def signatures(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int,
     seed = mix(h[item] + j.astype(U64) * _BASE)
     own, most = owner[item], weight[item]
     time, step = np.zeros(len(item)), 0
-    points: list[tuple[np.ndarray, np.ndarray]] = []
     with np.errstate(over="ignore"):
         while len(own):
             step += 1
@@ -129,7 +133,6 @@ def signatures(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int,
             counts = np.flatnonzero(level < most)
             cell = own[counts] * size + (more[counts] & U64(size - 1)).astype(np.int64)
             np.minimum.at(best, cell, time[counts])
-            points.append((cell, counts))
             bound = best.reshape(texts, size).max(axis=1)
             go = time < bound[own]
             seed, own, most, time, lower, width = seed[go], own[go], most[go], time[go], lower[go], width[go]
@@ -145,8 +148,8 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _worker_bags() -> Bags:
-    return held("neardup", Bags)
+def _text_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    return slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), SLICE_CHARS)
 
 
 def _sums(owner: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
@@ -168,11 +171,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per text with words: doc_id, name1, name2, size, sig, bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags = _worker_bags()
+        held("neardup", dict)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(map(len, texts), SLICE_CHARS):
-                owner, h, weight = bags.of(texts[a:b])
+            for a, b in _text_slices(batch.column(1)):
+                owner, h, weight = bags_of(batch.column(1).slice(a, b - a))
                 sig = signatures(owner, h, weight, b - a)
                 one, two = _names(owner, h, weight, b - a)
                 size = _sums(owner, weight.astype(U64), b - a).view(np.int64)
@@ -183,52 +185,81 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 arrays = [batch.column(0).slice(a, b - a).take(pa.array(rows)), *(pa.array(x[rows]) for x in (one, two, size)), pa.array([s.tobytes() for s in short], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "name1", "name2", "size", "sig", "bands"])
 
-    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
+    rows = docs.filter(F.col(id_col).try_cast("long").isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).try_cast("long"), text_col)
     return rows.mapInArrow(run, "doc_id long, name1 long, name2 long, size long, sig binary, bands array<long>")
 
 
 def _least(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """``rows`` with the least value of their key, through (key, salt) so that no key is hot."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts(rows.sparkSession))).cast("int"))
     part = rows.groupBy(*key, "salt").agg(F.min(value).alias("least"))
     whole = part.groupBy(*key).agg(F.min("least").alias("least"))
     return rows.join(part.select(*key, "salt").join(whole, key), [*key, "salt"]).drop("salt")
 
 
 def _bag_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Multisets of the wanted nodes: node, bag (48 bits of each shingle's hash, sorted, with repeats)."""
+    """Multisets of the wanted nodes: node, bag (see ``_packed``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags = _worker_bags()
+        held("neardup", dict)
         for batch in batches:
-            texts = texts_of(batch.column(3))
-            for a, b in slices(map(len, texts), SLICE_CHARS):
-                owner, h, weight = bags.of(texts[a:b])
+            for a, b in _text_slices(batch.column(3)):
+                owner, h, weight = bags_of(batch.column(3).slice(a, b - a))
                 one, two = _names(owner, h, weight, b - a)
                 meant = (one == batch.column(1).to_numpy()[a:b]) & (two == batch.column(2).to_numpy()[a:b])
                 ends = np.searchsorted(owner, np.arange(b - a + 1))
-                data = [np.repeat(h[x:y] >> U64(16), weight[x:y]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if m else None for x, y, m in zip(ends[:-1], ends[1:], meant, strict=True)]
+                data = [_packed(h[x:y], weight[x:y]) if m else None for x, y, m in zip(ends[:-1], ends[1:], meant, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(data, pa.binary())], ["node", "bag"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = wanted.hint("merge").join(rows, wanted["least"] == rows["doc_id"]).select("node", "name1", "name2", "text")
     out = rows.mapInArrow(run, "node long, bag binary").filter("bag IS NOT NULL")
     return stash(out, "neardup-bags")
 
 
-def _unpacked(bag: memoryview) -> np.ndarray:
-    raw = np.zeros((len(bag) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(bag, np.uint8).reshape(-1, 6)
-    return raw.view(U64).ravel()
-
+def _packed(h: np.ndarray, weight: np.ndarray) -> bytes:
+    """A multiset as bytes: 48 bits of each shingle's hash in order; behind them place and count of those counted more than once.
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets."""
-    # The i-th copy of a value in one pairs with the i-th copy in the other.
-    rank = lambda x: np.arange(len(x)) - np.searchsorted(x, x)
-    keys_a, keys_b = (x * U64(1 << 16) + np.minimum(rank(x), 65535).astype(U64) for x in (a, b))
-    shared = len(np.intersect1d(keys_a, keys_b, assume_unique=len(a) < 65536 and len(b) < 65536))
-    return shared / max(1, len(a) + len(b) - shared)
+    Ends with the number of the latter.
+    """
+    h = h >> U64(16)
+    if len(h) > 1 and (h[1:] == h[:-1]).any():
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, weight = h[first], np.add.reduceat(weight, first)
+    more = np.flatnonzero(weight > 1)
+    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + more.astype("<u8").tobytes() + weight[more].astype("<u8").tobytes() + len(more).to_bytes(8, "little")
+
+
+def _unpacked(bag: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and how often each occurs."""
+    more = int.from_bytes(bag[-8:], "little")
+    end = len(bag) - 8 - 16 * more
+    raw = np.zeros((end // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(bag[:end], np.uint8).reshape(-1, 6)
+    count = np.ones(len(raw), np.int64)
+    if more:
+        place, several = np.frombuffer(bag[end:-8], "<u8").reshape(2, -1).astype(np.int64)
+        count[place] = several
+    return raw.view(U64).ravel(), count
+
+
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two multisets, each as distinct values in order and their counts."""
+    _, one, two = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = int(np.minimum(a[1][one], b[1][two]).sum())
+    return shared / max(1, int(a[1].sum()) + int(b[1].sum()) - shared)
+
+
+def _dealt(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs, a written table, with the row of their ``a``; a node of many pairs is dealt to several tasks, with copies of its row."""
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_PAIRS)
+    hot = stash(hot.select("a", F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("copies")), "neardup-hot")
+    if hot.isEmpty():
+        return pairs.join(rows, "a")
+    pairs = pairs.join(hot, "a", "left").withColumn("copy", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("copies"))).cast("int")).drop("copies")
+    every = F.when(F.col("copies").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))
+    rows = rows.join(hot, "a", "left").withColumn("copy", F.explode(every)).drop("copies")
+    return pairs.join(rows, ["a", "copy"]).drop("copy")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -240,9 +271,9 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
             kept = [overlap(_unpacked(x.as_buffer()), _unpacked(y.as_buffer())) >= THRESHOLD for x, y in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    one, two = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b")
-    return both.mapInArrow(run, "a long, b long")
+    two = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
+    both = _dealt(pairs.select("a", "b"), bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))).join(two, "b")
+    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -286,53 +317,56 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return groups.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label").select("node", F.col("least").alias("label"))
 
 
-def _keys(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Multisets as sets: a number for each shingle and copy; and where each multiset begins."""
-    ends = np.concatenate([[0], np.cumsum([len(b) // 6 for b in bags])])
-    h = _unpacked(memoryview(b"".join(bags)))
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    new[ends[:-1][ends[:-1] < len(h)]] = True
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return (h << U64(16)) + np.minimum(np.arange(len(h)) - first, 65535).astype(U64), ends
+def _keys(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Multisets one after the other: hashes, their counts, where each multiset begins, and its size."""
+    parts = [_unpacked(memoryview(b)) for b in bags]
+    h, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in parts])])
+    return h, count, ends, np.add.reduceat(count, ends[:-1])
 
 
-def _similar(keys: np.ndarray, ends: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+def _similar(keys: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarities of multiset i with others."""
-    own = keys[ends[i] : ends[i + 1]]
+    h, count, ends, size = keys
+    own, own_count = h[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
     sizes = ends[others + 1] - ends[others]
     begin = np.cumsum(sizes) - sizes
-    theirs = keys[np.repeat(ends[others] - begin, sizes) + np.arange(sizes.sum())]
-    at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-    shared = np.add.reduceat((own[at] == theirs).astype(np.int64), begin)
-    return shared / (len(own) + sizes - shared)
+    theirs = np.repeat(ends[others] - begin, sizes) + np.arange(sizes.sum())
+    at = np.minimum(np.searchsorted(own, h[theirs]), len(own) - 1)
+    both = np.where(own[at] == h[theirs], np.minimum(own_count[at], count[theirs]), 0)
+    shared = np.add.reduceat(both, begin)
+    return shared / (size[i] + size[others] - shared)
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """In one share of a bucket: links between different groups, as few as join what belongs together.
+    """Links between different groups of a bucket or of a pair of parts, as few as join what belongs together.
 
-    Nodes outside the bucket's largest group are compared with all nodes of
-    other groups that their signatures do not rule out, in the first band only
-    that two nodes share.
+    In a bucket (``side`` -1) nodes outside its largest group are compared with
+    all nodes of other groups, in the first band only that two nodes share; in a
+    pair of parts, those of one with those of the other.  What signatures rule
+    out is not read.
     """
-    band, share = table["band"][0].as_py(), table["share"][0].as_py()
-    node, large = table["node"].to_numpy(), table["large"].to_numpy()
+    band = table["band"][0].as_py()
+    node, side = table["node"].to_numpy(), table["side"].to_numpy()
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SIZE)
     bands = np.concatenate([c.flatten().to_numpy() for c in table["bands"].chunks]).reshape(-1, BANDS)
-    _, group = np.unique(table["label"].to_numpy(), return_inverse=True)
-    keys, ends = _keys(table["bag"].to_pylist())
-    size = np.diff(ends)
+    _, group, members = np.unique(table["label"].to_numpy(), return_inverse=True, return_counts=True)
+    keys = _keys(table["bag"].to_pylist())
+    size = keys[3]
+    if side[0] < 0:
+        first, other = np.flatnonzero(group != members.argmax()), side < 0
+    else:
+        first, other = np.flatnonzero(side == 0), side == side.max()
     out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(~large):
-        near = np.flatnonzero((group != group[i]) & (np.minimum(size, size[i]) >= THRESHOLD * np.maximum(size, size[i])))
-        if share:
-            near = near[large[near]]
-        near = near[(bands[near, :band] == bands[i, :band]).sum(axis=1) == 0]
+    for i in first:
+        near = np.flatnonzero(other & (group != group[i]) & (np.minimum(size, size[i]) >= THRESHOLD * np.maximum(size, size[i])))
+        if side[0] < 0:
+            near = near[(bands[near, :band] == bands[i, :band]).sum(axis=1) == 0]
         agree = (sig[near] == sig[i]).mean(axis=1)
         near = near[agree >= LIKELY][np.argsort(-agree[agree >= LIKELY], kind="stable")]
         while len(near):
             some, near = near[:NEAREST], near[NEAREST:]
-            for k in some[_similar(keys, ends, i, some) >= THRESHOLD]:
+            for k in some[_similar(keys, i, some) >= THRESHOLD]:
                 if group[k] != group[i]:
                     out.append((min(node[i], node[k]), max(node[i], node[k])))
                     group[group == group[k]] = group[i]
@@ -340,6 +374,79 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
+_ACROSS = ("node", "label", "side", "sig", "bands", "bag")
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> U64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _frequencies(bags: DataFrame) -> np.ndarray:
+    """In how many multisets the shingles of each slot of the table occur; 2**TABLE_BITS numbers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << TABLE_BITS, np.uint64)
+        for batch in batches:
+            for bag in batch.column(0):
+                np.add.at(count, _slots(_unpacked(bag.as_buffer())[0]), U64(1))
+        parts = [x.astype("<u8").tobytes() for x in count.reshape(-1, 1 << CHUNK_BITS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["chunk", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<u8") for x in table["counts"])
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "chunk long, counts binary"
+    found = bags.select("bag").mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    out = np.zeros((1 << TABLE_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint64)
+    for r in found:
+        out[r.chunk] = np.frombuffer(r.counts, "<u8")
+    return out.ravel()
+
+
+def _rare(rows: DataFrame, count: np.ndarray) -> DataFrame:
+    """For each node (node, label, size, bag) its rare shingles: token, node, label, size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = []
+            for bag in batch.column(3):
+                h, weight = _unpacked(bag.as_buffer())
+                order = np.lexsort((h, count[_slots(h)]))
+                total = int(weight.sum())
+                # Copies of a shingle follow each other, so the first one tells of them all.
+                before = np.cumsum(weight[order]) - weight[order]
+                tokens.append(h[order[before < total - int(np.ceil(THRESHOLD * total - 1e-9)) + 1]])
+            at = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+            token = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), *(batch.column(k).take(pa.array(at)) for k in range(3))], ["token", "node", "label", "size"])
+
+    return rows.select("node", "label", "size", "bag").mapInArrow(run, "token long, node long, label long, size long")
+
+
+def _by_rare_shingles(wanted: DataFrame, nodes: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links between the nodes (node, label) of different groups that are similar enough; more of them than needed."""
+    rows = stash(wanted.join(nodes.select("node", "size", "sig", "bands"), "node").join(bags, "node"), "neardup-large")
+    tokens = _rare(rows, _frequencies(rows))
+    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    tokens = stash(tokens.join(groups.filter("low < high").select("token", "n"), "token"), "neardup-tokens")
+    few = tokens.filter(F.col("n") <= FEW_NODES)
+    one, two = (few.select("token", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * THRESHOLD
+    pairs = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near).select("a", "b").distinct()
+    links = _verified(stash(_agreeing(pairs, nodes), "neardup-pairs"), bags)
+    many = tokens.filter(F.col("n") > FEW_NODES)
+    if not many.isEmpty():
+        # Part i of a token's nodes meets every part, itself included, in a task of its own.
+        parts = F.ceil(F.col("n") / PART_NODES).cast("int")
+        dealt = many.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("token", "node", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), (F.col("part") > F.col("with")).cast("int").alias("side"))
+        blocks = dealt.join(rows, "node").withColumn("band", F.lit(0))
+        links = links.unionByName(blocks.select("token", "i", "j", "band", *_ACROSS).groupBy("token", "i", "j").applyInArrow(_across, "a long, b long"))
+    return links
+
+
 @result_only
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, kept.
@@ -348,6 +455,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     * null or wordless text: a group of its own;
     * null id: class_id is null and the row is kept;
+    * ids: integers, or what casts to one; others take no part, as null ids;
+    * very long texts: every shingle counts with its full count;
     * repeated ids: rows of one id are one document; each row is returned, and
       their groups are joined;
     * empty table: no rows; other columns are ignored.
@@ -374,14 +483,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = stash(components(nodes.select("node"), links), "neardup-groups")
     placed = alive.join(groups, "node")
     sizes = placed.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band", "h").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
-    mixed = mixed.filter("groups > 1").select("band", "h", F.col("top.label").alias("top"), F.ceil(F.col("n") / SHARE_NODES).cast("int").alias("shares"))
-    # A large bucket is dealt into shares: its largest group by hash, the others to each.
-    large = F.col("label") == F.col("top")
-    shares = F.when(large, F.array(F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("shares") - 1))
-    open_rows = placed.join(mixed, ["band", "h"]).select("band", "h", "node", "label", large.alias("large"), F.explode(shares).alias("share"))
+    mixed = sizes.groupBy("band", "h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    mixed = stash(mixed.select("band", "h", "n"), "neardup-mixed")
+    open_rows = placed.join(mixed.filter(F.col("n") <= SMALL_BUCKET), ["band", "h"]).select("band", "h", "node", "label", F.lit(-1).alias("side"))
     open_rows = open_rows.join(nodes.select("node", "sig", "bands"), "node").join(bags, "node")
-    more = stash(open_rows.groupBy("band", "h", "share").applyInArrow(_across, "a long, b long"), "neardup-links")
+    more = open_rows.select("band", "h", *_ACROSS).groupBy("band", "h").applyInArrow(_across, "a long, b long")
+    large = mixed.filter(F.col("n") > SMALL_BUCKET)
+    if not large.isEmpty():
+        more = more.unionByName(_by_rare_shingles(placed.join(large, ["band", "h"], "left_semi").select("node", "label").distinct(), nodes, bags))
+    more = stash(more, "neardup-links")
     if not more.isEmpty():
         groups = stash(_joined(groups, more), "neardup-groups")
 
@@ -397,13 +507,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = stash(nodes.select("node", *name, F.col("least").alias("doc")).join(groups, "node").select(*name, "label", "doc"), "neardup-labels")
     placed = member.join(_least(labels, ["label"], "doc").select(*name, F.col("least").alias("class_id")), name).select("doc_id", "class_id")
     placed = placed.distinct() if several else placed
-    rows = docs.select(F.col(id_col).alias("doc_id"))
-    out = rows.join(placed, "doc_id", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).try_cast("long").alias("number"))
+    placed = placed.withColumnRenamed("doc_id", "number")
+    out = rows.join(placed, "number", "left").select("doc_id", "number", F.coalesce("class_id", "number").alias("class_id"))
+    return out.select("doc_id", "class_id", F.col("number").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns."""
+    """One document of each group, with all its columns.
+
+    Documents are named by their id: rows of one id go or stay together, and
+    rows with a null id, as null and wordless texts, stay.  An empty table gives
+    no rows.
+    """
     dropped = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
     # By sorting at every size: the ids that go are as many as the input makes them.
     return docs.join(dropped.hint("merge"), docs[id_col] == dropped["__dropped"], "left_anti")

@@ -85,9 +85,75 @@ def test_estimate_is_unbiased():
 
 
 def test_overlap():
-    a, b = np.array([1, 1, 1, 5, 9], np.uint64), np.array([1, 1, 5, 7], np.uint64)
+    def packed(counts):
+        h = np.array(sorted(counts), np.uint64) << np.uint64(16)
+        return neardup._unpacked(memoryview(neardup._packed(h, np.array([counts[k] for k in sorted(counts)]))))
+
+    a, b = packed({1: 3, 5: 1, 9: 1}), packed({1: 2, 5: 1, 7: 1})
     assert neardup.overlap(a, b) == 3 / 6
     assert neardup.overlap(a, a) == 1
+    # Counts have no bound.
+    assert neardup.overlap(packed({1: 200_000}), packed({1: 190_000})) == 0.95
+    assert neardup.overlap(packed({1: 5_000_000_000, 2: 1}), packed({1: 4_000_000_000, 3: 1})) == pytest.approx(0.8, abs=1e-6)
+
+
+def test_very_many_copies_of_a_shingle(spark):
+    rows = [(0, "a " * 200_004), (1, "a " * 190_004), (2, "a " * 140_004), (3, "b " * 200_004)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def core_corpus():
+    """Texts that share most of their words with all others, a few near copies among them."""
+    r = random.Random(12)
+    core = [f"c{k}" for k in range(220)]
+    rows = []
+    for k in range(160):
+        own = [f"o{r.randrange(10**9)}" for _ in range(55)]
+        rows.append((k, " ".join(core + own)))
+        if k % 16 == 0:
+            rows.append((1000 + k, " ".join(edited(r, core + own, 4))))
+        if k % 40 == 0:
+            rows += [(2000 + 10 * k + j, " ".join(edited(r, core + own, 5))) for j in range(8)]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("small", "few", "part"), [(20, 32, 250), (20, 2, 3), (10**6, 32, 250)])
+def test_large_buckets_of_different_groups(spark, monkeypatch, small, few, part):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(neardup, "FEW_NODES", few)
+    monkeypatch.setattr(neardup, "PART_NODES", part)
+    monkeypatch.setattr(neardup, "HOT_PAIRS", 7)
+    rows = core_corpus()
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in out} == brute(rows)
+
+
+def test_rows_of_a_large_bucket_grow_with_it(spark, monkeypatch):
+    """Twice the texts with a common core: no more than twice the rows behind the buckets, and no task of a bucket."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 50)
+    seen = []
+    links = neardup._by_rare_shingles
+    monkeypatch.setattr(neardup, "_by_rare_shingles", lambda *args: (seen.append(args[0].count()), links(*args))[1])
+    tokens = neardup.stash
+    kept = []
+    monkeypatch.setattr(neardup, "stash", lambda df, name: (lambda out: (kept.append(out.count()) if name == "neardup-tokens" else None, out)[1])(tokens(df, name)))
+    r = random.Random(3)
+    core = [f"c{k}" for k in range(220)]
+    for n in (100, 200):
+        rows = [(k, " ".join(core + [f"o{r.randrange(10**9)}" for _ in range(55)])) for k in range(n)]
+        out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert all(x.kept for x in out)
+    # Rare shingles are each text's own: none is left that two groups share.
+    assert seen[0] > 50 and seen[1] <= 2.5 * seen[0] and kept == [0, 0]
+
+
+def test_ids_that_are_no_numbers(spark):
+    text = " ".join(map(str, range(50)))
+    rows = [("1", text), ("2", text), ("x", text), (None, text), ("x", "other")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.kept) for r in out), key=repr) == sorted([("1", 1, True), ("2", 1, False), ("x", None, True), ("x", None, True), (None, None, True)], key=repr)
 
 
 def test_nulls_and_repeats(spark):
