@@ -12,6 +12,7 @@ come, so a frame stays readable for that long.
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -63,6 +64,8 @@ class Table:
         #: Number of the base; changed rows do not make another.
         self._epoch = 0
         self.rebuilds = Rebuilds(self)
+        #: The last batch that each stream, by its checkpoint, has inserted.
+        self.batches: dict[str, int] = {}
 
     # Sources
 
@@ -725,7 +728,12 @@ class Table:
 
     def save(self, path: str) -> None:
         """Write the rows as Parquet, range-partitioned by place; the schema goes along in the fields' metadata."""
-        df = self.frame().to(spark_schema(self.schema))
+        fields = spark_schema(self.schema)
+        fields[POS].metadata["batches"] = json.dumps(self.batches)
+        for f in fields:
+            # What was written and read again is nullable to Spark.
+            f.nullable = True
+        df = self.frame().to(fields)
         df.repartitionByRange(POS).sortWithinPartitions(POS).write.parquet(path)
 
     @classmethod
@@ -738,6 +746,7 @@ class Table:
                 schema[f.name] = Column("boolean") if kind == "boolean" else Column("dictionary", values=tuple(f.metadata["dict"])) if kind == "dictionary" else Column("numeric", kind)
         table = cls(spark, schema, **options)
         table._base = df
+        table.batches = json.loads(df.schema[POS].metadata.get("batches", "{}"))
         found = df.agg(F.count(F.lit(1)), F.max(POS)).collect()[0]
         table.row_count, table._next = found[0], (found[1] + 1 if found[0] else 0)
         table.dense = table._next == table.row_count

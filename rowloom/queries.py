@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.operators.table import Table
+from rowloom.errors import EngineError
+from rowloom.operators.table import Table, from_rows, table
 from rowloom.schema import Schema, column
+from rowloom.sources import versions
 
 ORDERS: Schema = {
     "o_orderkey": column.uint32(),
@@ -228,6 +230,161 @@ SELECT (SELECT count(*) FROM o) AS n_rows, (SELECT count(*) FROM o WHERE o_total
 """
 
 
+NATION: Schema = {"n_nationkey": column.uint8(), "n_name": column.dictionary([f"NATION_{i}" for i in range(25)]), "n_regionkey": column.int16()}
+REGION: Schema = {"r_regionkey": column.uint8(), "r_name": column.dictionary(["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])}
+
+
+def _small(spark: SparkSession, d: str, name: str, schema: Schema) -> list[dict]:
+    """Rows of one of the two tables of fixed size."""
+    rows = spark.read.parquet(f"{d}/{name}.parquet").select(*schema).collect()
+    return [r.asDict() for r in sorted(rows)]
+
+
+def _table(spark: SparkSession, d: str) -> DataFrame:
+    """An empty table that grows by single inserts."""
+    t = table(spark, REGION, capacity=2)
+    for row in _small(spark, d, "region", REGION):
+        t.insert(row)
+    return t.query().frame().withColumn("capacity", F.lit(t.capacity)).withColumn("columns", F.lit(",".join(t.get_schema())))
+
+
+def _many_files(spark: SparkSession, d: str) -> DataFrame:
+    """Customers from files in several folders, some of which have the same name."""
+    path = f"{versions.settle(spark.range(0), 1).path}-files"
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    for part in range(3):
+        rows.filter(F.col("c_custkey") % 3 == part).coalesce(1).write.parquet(f"{path}/part={part}")
+    t = Table.from_parquet(spark, path, CUSTOMER)
+    return t.query().frame().withColumn("n_rows", F.lit(t.row_count).cast("long"))
+
+
+def _typed_reads(spark: SparkSession, d: str) -> DataFrame:
+    t = _customer(spark, d)
+    last = t.row_count - 1
+    read = lambda i: {"at": i, "segment": t.get_value(i, "c_mktsegment"), "code": t.get_comparable_value(i, "c_mktsegment"), "acctbal": t.get_numeric_value(i, "c_acctbal")}
+    return _local(spark, [read(i) for i in (0, 17, last)])
+
+
+def _failure(call: Callable[[], object]) -> dict:
+    """Code and details of the error that a call ends with."""
+    try:
+        call()
+    except EngineError as e:
+        details = e.details or {}
+        return {"code": e.code, "col": details.get("column", ""), "key": details.get("key", -1), **{n: details.get(k, -1) for n, k in (("existing", "existingRowIndex"), ("input", "inputIndex"), ("conflicting", "conflictingInputIndex"))}, "operation": details.get("operation", "")}
+    return {"code": "", "col": "", "key": -1, "existing": -1, "input": -1, "conflicting": -1, "operation": ""}
+
+
+def _unique_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What the four checks of unique keys report; the table stays as it was."""
+    t = _customer(spark, d).create_unique_index("c_custkey")
+    row = {"c_custkey": 42, "c_nationkey": 1, "c_acctbal": 0.0, "c_mktsegment": "BUILDING"}
+    fresh = [row | {"c_custkey": k} for k in (3_000_000_001, 3_000_000_002, 3_000_000_001)]
+    calls = {
+        "u1_insert": lambda: t.insert(row),
+        "u2_insert_many": lambda: t.insert_many(fresh),
+        "u3_update": lambda: t.update(0, {"c_custkey": 42}),
+        "u3_update_many": lambda: t.update_many({"c_mktsegment": "BUILDING"}, {"c_custkey": 42}),
+        "u4_create": lambda: t.create_unique_index("c_nationkey"),
+    }
+    out = [{"query": name} | _failure(call) for name, call in calls.items()]
+    return _local(spark, [r | {"n_rows": t.query().count()} for r in out])
+
+
+UNIQUE_ERRORS_SQL = """
+WITH n AS (SELECT count(*) AS r, count(*) FILTER (c_custkey < 42) AS before FROM customer),
+least AS (SELECT min(c_nationkey) AS k FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1))
+SELECT 'u1_insert' AS query, 'ROWLOOM_DUPLICATE_KEY' AS code, 'c_custkey' AS col, 42 AS key, before AS existing, -1 AS input, -1 AS conflicting, 'insert' AS operation, r AS n_rows FROM n
+UNION ALL SELECT 'u2_insert_many', 'ROWLOOM_DUPLICATE_KEY', 'c_custkey', 3000000001, -1, 2, 0, 'insertMany', r FROM n
+UNION ALL SELECT 'u3_update', 'ROWLOOM_DUPLICATE_KEY', 'c_custkey', 42, -1, -1, -1, 'update', r FROM n
+UNION ALL SELECT 'u3_update_many', 'ROWLOOM_DUPLICATE_KEY', 'c_custkey', 42, -1, -1, -1, 'updateMany', r FROM n
+UNION ALL SELECT 'u4_create', 'ROWLOOM_DUPLICATE_KEY', 'c_nationkey', k, -1, -1, -1, 'rebuildUniqueIndex', r FROM n, least
+"""
+
+
+def _error_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of calls that are refused."""
+    t = _customer(spark, d)
+    row = {"c_custkey": 5_000_000, "c_nationkey": 1, "c_acctbal": 0.0, "c_mktsegment": "BUILDING"}
+    calls = {
+        "unknown column": lambda: t.where("nope", "=", 1),
+        "operator": lambda: t.where("c_mktsegment", ">", "BUILDING"),
+        "empty list": lambda: t.where_in("c_custkey", []),
+        "literal out of range": lambda: t.where("c_custkey", "=", -1),
+        "literal not in dictionary": lambda: t.where("c_mktsegment", "=", "SHIPS"),
+        "empty object": lambda: t.where({}),
+        "limit": lambda: t.limit(-1),
+        "offset": lambda: t.offset(0.5),
+        "selection twice": lambda: t.select(["c_custkey", "c_custkey"]),
+        "row index": lambda: t.get(t.row_count),
+        "missing value": lambda: t.insert({"c_custkey": 1}),
+        "type": lambda: t.insert(row | {"c_acctbal": "0"}),
+        "empty patch": lambda: t.update(0, {}),
+        "sum of text": lambda: t.sum("c_mktsegment"),
+        "index twice": lambda: t.create_index("c_nationkey").create_index("c_nationkey"),
+        "no unique index": lambda: t.find_by("c_custkey", 1),
+        "snapshot": lambda: Table.deserialize(spark, b"ROWLOOM?"),
+    }
+    return _local(spark, [{"call": name, "code": _failure(call)["code"]} for name, call in calls.items()])
+
+
+ERROR_CODES = {
+    "unknown column": "INVALID_COLUMN", "operator": "INVALID_OPERATOR", "empty list": "TYPE_MISMATCH", "literal out of range": "OUT_OF_RANGE",
+    "literal not in dictionary": "UNKNOWN_VALUE", "empty object": "INVALID_PREDICATE", "limit": "INVALID_LIMIT", "offset": "INVALID_OFFSET",
+    "selection twice": "DUPLICATE_COLUMN", "row index": "INVALID_ROW_INDEX", "missing value": "MISSING_VALUE", "type": "TYPE_MISMATCH",
+    "empty patch": "MISSING_VALUE", "sum of text": "INVALID_COLUMN_TYPE", "index twice": "INDEX_EXISTS", "no unique index": "UNIQUE_INDEX_NOT_FOUND",
+    "snapshot": "INVALID_SERIALIZED_DATA",
+}
+
+
+def _predicate_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order in which a plan lists predicates: by cost, ties as written."""
+    t = _customer(spark, d)
+    q = t.where_not_in("c_nationkey", [1]).where("c_acctbal", "<", 10).where_in("c_custkey", [1, 2]).where("c_mktsegment", "!=", "BUILDING").where("c_acctbal", ">=", 0).where("c_nationkey", "=", 3)
+    return _local(spark, [{"at": i, "predicate": p} for i, p in enumerate(q.explain()["predicateOrder"])])
+
+
+def _index_life(spark: SparkSession, d: str) -> DataFrame:
+    """States of all kinds of indexes through mutations and rebuilds, and the planner's own view."""
+    t = _customer(spark, d).create_index("c_mktsegment").create_sorted_index("c_acctbal").create_unique_index("c_custkey")
+    out: list[dict] = []
+
+    def note(step: str) -> None:
+        for s in t.debug_index_diagnostics():
+            out.append({"step": step, "kind": s["kind"], "col": s["column"], "state": s["state"], "reason": s.get("dirtyReason", "")})
+
+    note("created")
+    t.insert({"c_custkey": 4_000_000_000, "c_nationkey": 1, "c_acctbal": 0.5, "c_mktsegment": "BUILDING"})
+    note("insert")
+    t.update(0, {"c_mktsegment": "MACHINERY"})
+    note("update")
+    t.rebuild_indexes()
+    note("rebuilt")
+    t.delete_where("c_custkey", "=", 4_000_000_000)
+    note("delete")
+    t.rebuilds.submit("sorted", "c_acctbal").result()
+    t.rebuild_unique_indexes()
+    note("background")
+    plan = t.where("c_acctbal", ">=", 1e6).debug_plan()
+    out.append({"step": "plan", "kind": plan["source"], "col": plan["column"], "state": plan["mode"], "reason": ""})
+    return _local(spark, out)
+
+
+INDEX_LIFE = [
+    ("created", "fresh", "", "fresh", "", "fresh", ""),
+    ("insert", "fresh", "", "dirty", "insert", "fresh", ""),
+    ("update", "dirty", "update", "dirty", "insert", "fresh", ""),
+    ("rebuilt", "fresh", "", "fresh", "", "fresh", ""),
+    ("delete", "dirty", "delete", "dirty", "delete", "dirty", "delete"),
+    ("background", "dirty", "delete", "fresh", "", "fresh", ""),
+]
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    text = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+    return f"SELECT * FROM (VALUES {text}) AS v({columns})"
+
+
 def _filtered(predicate: str) -> str:
     return f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM {O_SQL} WHERE {predicate}"
 
@@ -288,6 +445,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "x5_index_stats": _index_stats,
     "x8_explain": _explain_row,
     "x11_hook": _hooked,
+    "s1_table": _table,
+    "s1_many_files": _many_files,
+    "s3_from_rows": lambda s, d: from_rows(s, NATION, _small(s, d, "nation", NATION)).where("n_regionkey", "=", 2).frame(),
+    "s8_typed_reads": _typed_reads,
+    "u_unique_errors": _unique_errors,
+    "e_error_codes": _error_codes,
+    "f12_predicate_order": _predicate_order,
+    "m4_update_where": lambda s, d: (lambda t: _affected(s, "affected", t.update_where("c_acctbal", "<", 0, {"c_nationkey": 24}), t))(_customer(s, d)),
+    "m9_delete_where": lambda s, d: (lambda t: _affected(s, "affected", t.delete_where("c_acctbal", "<", 0), t))(_customer(s, d)),
+    "x_index_life": _index_life,
 }
 
 _C = "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer"
@@ -333,4 +500,18 @@ ORACLE_SQL: dict[str, str] = {
     "x5_index_stats": INDEX_STATS_SQL,
     "x8_explain": EXPLAIN_SQL,
     "x11_hook": HOOKED_SQL,
+    "s1_table": "SELECT r_regionkey, r_name, 8 AS capacity, 'r_regionkey,r_name' AS columns FROM region",
+    "s1_many_files": f"SELECT *, (SELECT count(*) FROM customer) AS n_rows FROM ({_C})",
+    "s3_from_rows": "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2",
+    "s8_typed_reads": """WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS at, count(*) OVER () AS n FROM customer)
+        SELECT at, c_mktsegment AS segment, list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) - 1 AS code, c_acctbal AS acctbal FROM r WHERE at IN (0, 17, n - 1)""",
+    "u_unique_errors": UNIQUE_ERRORS_SQL,
+    "e_error_codes": _values("call, code", [(k, f"ROWLOOM_{v}") for k, v in ERROR_CODES.items()]),
+    "f12_predicate_order": _values("at, predicate", list(enumerate(["c_nationkey =", "c_mktsegment !=", "c_acctbal <", "c_acctbal >=", "c_custkey in", "c_nationkey not in"]))),
+    "m4_update_where": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 24 ELSE c_nationkey END AS c_nationkey, c_acctbal, c_mktsegment, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS affected FROM customer",
+    "m9_delete_where": f"SELECT *, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS affected FROM ({_C}) WHERE c_acctbal >= 0",
+    "x_index_life": _values(
+        "step, kind, col, state, reason",
+        [(step, kind, col, *states[2 * k : 2 * k + 2]) for step, *states in INDEX_LIFE for k, (kind, col) in enumerate((("equality", "c_mktsegment"), ("sorted", "c_acctbal"), ("unique", "c_custkey")))] + [("plan", "sorted", "c_acctbal", "index", "")],
+    ),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlsplit
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +16,9 @@ MOST_NAMES = 64 << 20
 
 
 def _as_path(uri: str) -> str:
-    """An encoded URI of a file as the scan names the file."""
+    """The URI of a file as the scan names the file: without an empty host."""
     u = urlsplit(uri)
-    return f"{u.scheme}:" + (f"//{u.netloc}" if u.netloc else "") + unquote(u.path)
+    return f"{u.scheme}:" + (f"//{u.netloc}" if u.netloc else "") + u.path
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:

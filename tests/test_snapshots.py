@@ -5,7 +5,7 @@ import pytest
 
 from rowloom import Table, column
 from rowloom.sources import snapshot
-from tests.helpers import fails, make, users
+from tests.helpers import fails, make, shipments
 
 ALL = {
     "a": column.int16(), "b": column.int32(), "c": column.uint8(), "d": column.uint16(), "e": column.uint32(),
@@ -48,7 +48,7 @@ def broken(data: bytes, change) -> bytes:
 
 @pytest.fixture(scope="module")
 def data(spark):
-    return make(spark, users(3)).serialize()
+    return make(spark, shipments(3)).serialize()
 
 
 @pytest.mark.parametrize(
@@ -84,8 +84,8 @@ def test_rejected_bytes(spark, data):
         fails("INVALID_SERIALIZED_DATA", lambda bad=bad: Table.deserialize(spark, bad))
     at = json.loads(data[12 : 12 + size])["columns"][3]["byteOffset"]
     fails("INVALID_SERIALIZED_DATA", lambda: Table.deserialize(spark, data[:at] + b"\x09" + data[at + 1 :]))
-    other = make(spark, users(3)).serialize(magic=b"OTHER003")
-    assert Table.deserialize(spark, other, magic=b"OTHER003").to_array() == users(3)
+    other = make(spark, shipments(3)).serialize(magic=b"OTHER003")
+    assert Table.deserialize(spark, other, magic=b"OTHER003").to_array() == shipments(3)
 
 
 def test_float32_overflow_is_stored_but_not_restored(spark):
