@@ -14,7 +14,7 @@ from rowloom.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; those without a letter go."""
+    """Documents that fit a learned language; the others go, among them those without a letter.  A missing label is filled in."""
     scratch.release_all()
     return langid.identified_documents(docs, langid.learn(docs))
 
