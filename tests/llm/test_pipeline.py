@@ -13,7 +13,7 @@ def corpus():
     r = random.Random(6)
     clean = [(i, prose(r, r.randrange(30, 120)), "en", "s", 0) for i in range(60)]
     passage = "a passage of more than fifty words that some documents share " * 8
-    rows = clean + [(100, "  ".join(clean[3][1].split(" ")), "en", "s", 0), (101, clean[4][1] + " end", "en", "s", 0), (102, None, "en", "s", 0), (103, "12 34", "en", "s", 0)]
+    rows = clean + [(100, "  ".join(clean[3][1].split(" ")), "en", "s", 0), (101, clean[4][1] + " end", "en", "s", 0), (102, None, "en", "s", 0), (103, "12 34", "en", "s", 0), (104, "zqxj kvwz jjqk xzvy wqkj", None, "s", 0)]
     rows += [(200 + i, f"{prose(r, 40)} {passage} {prose(r, 40)}", "en", "s", 0) for i in range(3)]
     return clean, rows
 
@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
         seen[name] = docs.collect()
     ids = {name: {r.doc_id for r in found} for name, found in seen.items()}
     everyone = {r[0] for r in rows}
-    assert ids["language_id"] == everyone - {102, 103}
+    assert ids["language_id"] == everyone - {102, 103, 104}
     assert ids["exact_dedup"] == ids["language_id"] - {100}
     left = [(r.doc_id, r.text) for r in seen["exact_dedup"]]
     groups = test_neardup.brute(left)
@@ -52,3 +52,22 @@ def test_run(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(out.columns)
     assert out.count() > 50
+
+
+def test_empty_tables_and_columns_with_clashing_names(spark, tmp_path):
+    """Every stage keeps columns it does not know, whatever their names, nulls and repeats among the rows, and takes an empty table."""
+    _, rows = corpus()
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, node string, block long, bucket string, keep_id long, kept boolean, label string, __dropped long, number int, size string"
+    extra = ("n", 1, "b", 2, True, None, 3, 4, "s")
+    table = [(i, t, lang, s, len(t or ""), *extra) for i, t, lang, s, _ in rows] + [(None, rows[0][1], None, None, None, *extra), (rows[1][0], rows[1][1], None, None, None, *extra)]
+    for name, some in (("full", table), ("none", [])):
+        docs = spark.createDataFrame(some, kinds)
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / name / str(k))
+            docs.write.parquet(path)
+            docs = stage(spark, spark.read.schema(docs.schema).parquet(path), str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == [c.split()[0] for c in kinds.split(", ")], stage_name
+                assert all(r[5:] == extra for r in docs.collect())
+        assert (docs.count() > 50) == (name == "full")
+    scratch.release_all()
