@@ -106,6 +106,44 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM t),
+c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY doc_id, g),
+z AS (SELECT doc_id, sum(n) AS size FROM c GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS both_n FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM o JOIN z AS p ON p.doc_id = x JOIN z AS q ON q.doc_id = y WHERE 5 * both_n >= 4 * (p.size + q.size - both_n)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach(doc_id, other) AS (SELECT x, y FROM e UNION SELECT r.doc_id, e.y FROM reach r JOIN e ON r.other = e.x),
+least_of AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, least(d.doc_id, coalesce(f.other, d.doc_id)) AS class_id, d.doc_id = least(d.doc_id, coalesce(f.other, d.doc_id)) AS kept
+FROM documents d LEFT JOIN least_of f USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, b, substr(h, 2 * b + 1, 610) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 256)) AS b FROM d)),
+w AS (SELECT doc_id, b + p AS p, substr(part, 2 * p + 1, 100) AS s FROM (SELECT doc_id, b, part, unnest(range(least(256, length(part) // 2 - 49))) AS p FROM c)),
+m AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT w.doc_id, w.p FROM w JOIN m ON w.s = m.s AND m.first_id < w.doc_id),
+f AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM f),
+g AS (SELECT doc_id, n, min(p) AS a, max(p) + 50 AS e FROM i GROUP BY doc_id, n),
+k AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low, a AS high FROM g
+  UNION ALL SELECT d.doc_id, coalesce(max(g.e), 0), any_value(length(h)) // 2 FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY low, high) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+x AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(t.kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.substring_digests(_table(spark, sf_dir, "documents"))
 
@@ -127,4 +165,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_va_topk": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_chat_format": OP4_SQL,
+    "op6_bagminhash": OP6_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }
