@@ -261,7 +261,7 @@ def _many_files(spark: SparkSession, d: str) -> DataFrame:
 def _typed_reads(spark: SparkSession, d: str) -> DataFrame:
     t = _customer(spark, d)
     last = t.row_count - 1
-    read = lambda i: {"at": i, "segment": t.get_value(i, "c_mktsegment"), "code": t.get_comparable_value(i, "c_mktsegment"), "acctbal": t.get_numeric_value(i, "c_acctbal")}
+    read = lambda i: {"row_index": i, "segment": t.get_value(i, "c_mktsegment"), "code": t.get_comparable_value(i, "c_mktsegment"), "acctbal": t.get_numeric_value(i, "c_acctbal")}
     return _local(spark, [read(i) for i in (0, 17, last)])
 
 
@@ -341,7 +341,7 @@ def _predicate_order(spark: SparkSession, d: str) -> DataFrame:
     """The order in which a plan lists predicates: by cost, ties as written."""
     t = _customer(spark, d)
     q = t.where_not_in("c_nationkey", [1]).where("c_acctbal", "<", 10).where_in("c_custkey", [1, 2]).where("c_mktsegment", "!=", "BUILDING").where("c_acctbal", ">=", 0).where("c_nationkey", "=", 3)
-    return _local(spark, [{"at": i, "predicate": p} for i, p in enumerate(q.explain()["predicateOrder"])])
+    return _local(spark, [{"rank": i, "predicate": p} for i, p in enumerate(q.explain()["predicateOrder"])])
 
 
 def _index_life(spark: SparkSession, d: str) -> DataFrame:
@@ -503,11 +503,11 @@ ORACLE_SQL: dict[str, str] = {
     "s1_table": "SELECT r_regionkey, r_name, 8 AS capacity, 'r_regionkey,r_name' AS columns FROM region",
     "s1_many_files": f"SELECT *, (SELECT count(*) FROM customer) AS n_rows FROM ({_C})",
     "s3_from_rows": "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2",
-    "s8_typed_reads": """WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS at, count(*) OVER () AS n FROM customer)
-        SELECT at, c_mktsegment AS segment, list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) - 1 AS code, c_acctbal AS acctbal FROM r WHERE at IN (0, 17, n - 1)""",
+    "s8_typed_reads": """WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, count(*) OVER () AS n FROM customer)
+        SELECT row_index, c_mktsegment AS segment, list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) - 1 AS code, c_acctbal AS acctbal FROM r WHERE row_index IN (0, 17, n - 1)""",
     "u_unique_errors": UNIQUE_ERRORS_SQL,
     "e_error_codes": _values("call, code", [(k, f"ROWLOOM_{v}") for k, v in ERROR_CODES.items()]),
-    "f12_predicate_order": _values("at, predicate", list(enumerate(["c_nationkey =", "c_mktsegment !=", "c_acctbal <", "c_acctbal >=", "c_custkey in", "c_nationkey not in"]))),
+    "f12_predicate_order": _values("rank, predicate", list(enumerate(["c_nationkey =", "c_mktsegment !=", "c_acctbal <", "c_acctbal >=", "c_custkey in", "c_nationkey not in"]))),
     "m4_update_where": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 24 ELSE c_nationkey END AS c_nationkey, c_acctbal, c_mktsegment, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS affected FROM customer",
     "m9_delete_where": f"SELECT *, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS affected FROM ({_C}) WHERE c_acctbal >= 0",
     "x_index_life": _values(
