@@ -730,10 +730,7 @@ class Table:
         """Write the rows as Parquet, range-partitioned by place; the schema goes along in the fields' metadata."""
         fields = spark_schema(self.schema)
         fields[POS].metadata["batches"] = json.dumps(self.batches)
-        for f in fields:
-            # What was written and read again is nullable to Spark.
-            f.nullable = True
-        df = self.frame().to(fields)
+        df = self.frame().select(*(col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in fields))
         df.repartitionByRange(POS).sortWithinPartitions(POS).write.parquet(path)
 
     @classmethod
