@@ -64,12 +64,43 @@ def test_against_brute_force(spark, seed):
 
 
 def test_many_small_blocks_and_buckets(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 700)
-    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
+    small(monkeypatch)
     rows = corpus(9)
     assert found(spark, rows, 4) == brute(rows)
 
 
+def small(monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(suffixes, "HASH_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "WAITING", 150)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_leads_are_dealt_by_the_bytes_around_them(spark, monkeypatch, hot):
+    small(monkeypatch)
+    monkeypatch.setattr(suffixes, "HOT_LEAD", hot)
+    r = random.Random(hot)
+    passage = "a passage that very many documents have with other words around it, each"
+    rows = corpus(4) + [(1000 + i, f"{r.random()} {passage} {r.random()}" + r.choice(["", " and more of it"])) for i in range(60)]
+    assert found(spark, rows, 4) == brute(rows)
+
+
+def test_hashes_decide_nothing(spark, monkeypatch):
+    """With two bits of a hash nearly all leads agree by hash; the bytes tell them apart."""
+    small(monkeypatch)
+    monkeypatch.setattr(suffixes, "_width", lambda size, bits: max(2, bits))
+    rows = corpus(5)
+    assert found(spark, rows, 4) == brute(rows)
+
+
+def test_text_ids(spark):
+    passage = "one passage that is much longer than fifty bytes, so it counts as a repeat"
+    docs = spark.createDataFrame([("2", passage), ("10", passage), ("x", passage), (None, passage)], "doc_id string, text string")
+    out = {r.doc_id: r.n_removed for r in suffixes.substring_digests(docs).collect()}
+    assert out == {"2": 0, "10": len(passage), "x": 0, None: 0}
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
