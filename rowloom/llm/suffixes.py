@@ -60,6 +60,8 @@ NEAR = SPAN - FAR + 1
 BLOCK_BYTES, HASH_BYTES, RANGE_BYTES = 3 << 19, 96 << 20, 6 << 20
 #: Anchors of a task that wait to be sent together, and blocks with one lead from which on it is hot.
 WAITING, HOT_LEAD = 3_000_000, 20_000
+#: A bucket of hashes is gone through in so many parts (as a power of two), one after another, by the next bits of the hash.
+PART_BITS = 3
 #: Texts sampled for splitters, at least.
 SAMPLE_TEXTS = 512
 
@@ -259,14 +261,16 @@ class _Sender:
         lead, block, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(lead, kind="stable")
         lead, block, place = lead[order], block[order], place[order]
-        bounds = np.arange(1 << self.bits, dtype=U64) << U64(self.width - self.bits)
+        cut = min(PART_BITS, self.width - self.bits)
+        bounds = np.arange(1 << (self.bits + cut), dtype=U64) << U64(self.width - self.bits - cut)
         edges = [*np.searchsorted(lead, bounds).tolist(), len(lead)]
-        rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if lo < hi]
-        data = [packed.squeeze(np.diff(lead[lo:hi], prepend=bounds[b]), block[lo:hi], place[lo:hi]) for b, lo, hi in rows]
+        part = lambda k: slice(edges[k], edges[k + 1])
+        rows = [b for b in range(1 << self.bits) if edges[b << cut] < edges[(b + 1) << cut]]
+        data = [[packed.squeeze(np.diff(lead[part(k)], prepend=bounds[k]), block[part(k)], place[part(k)]) for k in range(b << cut, (b + 1) << cut)] for b in rows]
         # Blocks without anchors take part too, so that their texts come back.
         home = hash_of(self.task) % (1 << self.bits)
-        columns = [[b for b, _, _ in rows] + [home], [self.task] * (len(rows) + 1), [*data, None], [None] * len(rows) + [np.array(self.blocks, np.uint32).tobytes()]]
-        kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+        columns = [[*rows, home], [self.task] * (len(rows) + 1), [*data, None], [None] * len(rows) + [np.array(self.blocks, np.uint32).tobytes()]]
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.binary()), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "task", "anchors", "blocks"])
         self.parts, self.blocks, self.held = [], [], 0
 
@@ -276,7 +280,7 @@ def _path(task: str, block: int) -> str:
 
 
 def _first_pass(docs: DataFrame, folder: str, bits: int, width: int, id_at: int, text_at: int) -> DataFrame:
-    """Write the blocks; rows (bucket, task, anchors, blocks) with ``width`` bits of the hash of each lead of a block."""
+    """Write the blocks; rows (bucket, task, anchors, blocks) with ``width`` bits of the hash of each lead of a block, in parts by its leading bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("suffixes", dict)
@@ -310,41 +314,53 @@ def _first_pass(docs: DataFrame, folder: str, bits: int, width: int, id_at: int,
                 made += 1
         yield from sender.flush()
 
-    return docs.mapInArrow(run, "bucket long, task string, anchors binary, blocks binary")
+    return docs.mapInArrow(run, "bucket long, task string, anchors array<binary>, blocks binary")
+
+
+def _shared(parts: list[pa.Buffer], hot_lead: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of anchors whose lead comes again in any of the parts: number of the part, block, places, and which are hot."""
+    leads, blocks, places = [], [], []
+    for data in parts:
+        gaps, block, place = packed.expand(data)
+        leads.append(np.cumsum(gaps, dtype=U64))
+        blocks.append(block.astype(np.uint32))
+        places.append(place.astype(np.uint32))
+    lead = np.concatenate(leads)
+    row = np.repeat(np.arange(len(parts)), [len(x) for x in leads])
+    order = np.argsort(lead, kind="stable")
+    first = np.flatnonzero(~_repeats(lead[order]))
+    sizes = np.diff(np.append(first, len(order)))
+    count = np.repeat(sizes, sizes)
+    found, hot = order[count > 1], (count > hot_lead)[count > 1]
+    block, place = np.concatenate(blocks)[found], np.concatenate(places)[found]
+    key = row[found].astype(U64) << U64(32) | block.astype(U64)
+    by = np.argsort(key, kind="stable")
+    for a, e in _spans(key[by]):
+        own = by[a:e]
+        yield int(key[own[0]] >> U64(32)), int(block[own[0]]), place[own], hot[own]
 
 
 def _meet(hot_lead: int):
     """For a bucket: one row for each block with anchors whose lead other blocks may have: block, places, hot ones among them."""
 
     def run(table: pa.Table) -> pa.Table:
-        task, leads, blocks, places, every = [], [], [], [], set()
+        held("suffixes", dict)
+        task, rows, out = [], [], {}
         for t, anchors, own in zip(*(table[c] for c in ("task", "anchors", "blocks")), strict=True):
             name = t.as_py()
             if own.is_valid:
-                every.update((name, int(b)) for b in np.frombuffer(own.as_buffer(), np.uint32))
+                out |= {(name, int(b)): ([], []) for b in np.frombuffer(own.as_buffer(), np.uint32) if (name, int(b)) not in out}
             if anchors.is_valid:
-                gaps, block, place = packed.expand(anchors.as_buffer())
-                task.append((name, len(gaps)))
-                leads.append(np.cumsum(gaps, dtype=U64))
-                blocks.append(block.astype(np.uint32))
-                places.append(place.astype(np.uint32))
-        out: dict[tuple[str, int], tuple[bytes, bytes]] = dict.fromkeys(every, (b"", b""))
-        if task:
-            lead = np.concatenate(leads)
-            row = np.repeat(np.arange(len(task)), [n for _, n in task])
-            order = np.argsort(lead, kind="stable")
-            first = np.flatnonzero(~_repeats(lead[order]))
-            count = np.repeat(np.diff(np.append(first, len(order))), np.diff(np.append(first, len(order))))
-            found, hot = order[count > 1], (count > hot_lead)[count > 1]
-            block, place = np.concatenate(blocks)[found], np.concatenate(places)[found]
-            key = row[found].astype(U64) << U64(32) | block.astype(U64)
-            by = np.argsort(key, kind="stable")
-            for a, e in _spans(key[by]):
-                own = by[a:e]
-                name = (task[int(key[own[0]] >> U64(32))][0], int(block[own[0]]))
-                before = out.get(name, (b"", b""))
-                out[name] = (before[0] + place[own].tobytes(), before[1] + place[own[hot[own]]].tobytes())
-        return pa.table({"block": pa.array([_path(*name) for name in out], pa.string()), "open": pa.array([p for p, _ in out.values()], pa.binary()), "hot": pa.array([h for _, h in out.values()], pa.binary())})
+                task.append(name)
+                rows.append(anchors.values)
+        # Equal leads are in the same part, so one part is in memory at a time.
+        for k in range(len(rows[0]) if rows else 0):
+            for row, block, place, hot in _shared([x[k].as_buffer() for x in rows], hot_lead):
+                found = out.setdefault((task[row], block), ([], []))
+                found[0].append(place.tobytes())
+                found[1].append(place[hot].tobytes())
+        places, hot = ([b"".join(x[i]) for x in out.values()] for i in (0, 1))
+        return pa.table({"block": pa.array([_path(*name) for name in out], pa.string()), "open": pa.array(places, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
     return run
 
@@ -407,6 +423,7 @@ def _open_suffixes(splitters: np.ndarray, id_at: int, text_at: int):
     buckets = len(splitters) + 1
 
     def run(table: pa.Table) -> pa.Table:
+        held("suffixes", dict)
         path = table["block"][0].as_py()
         batch, own = _read_block(path)
         text = Text(_texts(batch, text_at))
@@ -500,6 +517,7 @@ def _compare(table: pa.Table) -> pa.Table:
     Among suffixes dealt by the bytes behind or before their lead, only strings
     that hold those bytes are compared.
     """
+    held("suffixes", dict)
     least, most = {ALL: (0, REACH), BEHIND: (0, SPAN - FAR), BEFORE: (NEAR, REACH)}[table["kind"][0].as_py()]
     blocks = table["block"].to_pylist()
     parts = [_expanded(x.as_buffer()) for x in table["suffixes"]]
@@ -560,6 +578,7 @@ def _rank(rows: np.ndarray) -> np.ndarray:
 
 def _removed(path: str, marks: list[bytes], text_at: int) -> tuple[pa.RecordBatch, Text, np.ndarray]:
     """Block, texts, and a flag for each byte of the buffer that goes."""
+    held("suffixes", dict)
     batch, _ = _read_block(path)
     text = Text(_texts(batch, text_at))
     starts = np.unpackbits(np.asarray(store.read(f"{path}.known")["bits"]), count=text.size).astype(bool)

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowloom.llm import suffixes
@@ -94,6 +96,34 @@ def test_hashes_decide_nothing(spark, monkeypatch):
     assert found(spark, rows, 4) == brute(rows)
 
 
+def test_a_bucket_of_hashes_is_not_in_memory_at_once():
+    """Anchors of a bucket that nearly all have a lead of their own; one lead in ten comes again in the next task."""
+    rng = np.random.default_rng(8)
+    n, batches, wanted = 100_000, [], {}
+    fresh = np.unique(rng.integers(0, 1 << 63, 8 * n, dtype=np.uint64) * np.uint64(2))
+    fresh = rng.permutation(fresh)[: 6 * n].reshape(6, n)
+    for k, leads in enumerate(fresh):
+        if k:
+            leads[: n // 10] = fresh[k - 1, n // 2 : n // 2 + n // 10]
+            wanted.setdefault((k, 1), set()).update(range(n // 10))
+            wanted.setdefault((k - 1, 1), set()).update(range(n // 2, n // 2 + n // 10))
+        sender = suffixes._Sender(f"t{k}", 0, 64, 1 << 40)
+        order = np.argsort(leads)
+        assert not list(sender.add(1, leads[order], order)) + list(sender.add(2, leads[:0], order[:0]))
+        batches += sender.flush()
+    table = pa.Table.from_batches(batches)
+    meet = suffixes._meet(suffixes.HOT_LEAD)
+    tracemalloc.start()
+    try:
+        out = meet(table)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    found = {(int(b[1]), int(b[-1])): set(np.frombuffer(r["open"], np.uint32).tolist()) for r in out.to_pylist() if (b := r["block"])}
+    assert found == {(k, b): wanted.get((k, b), set()) for k in range(6) for b in (1, 2)}
+    assert most < 20 * 6 * n
+
+
 def test_text_ids(spark):
     passage = "one passage that is much longer than fifty bytes, so it counts as a repeat"
     docs = spark.createDataFrame([("2", passage), ("10", passage), ("x", passage), (None, passage)], "doc_id string, text string")
