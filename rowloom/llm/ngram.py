@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm import packed, store
 from rowloom.llm.arrow import coded_words, slices
-from rowloom.llm.elias_fano import Sequence
+from rowloom.llm.elias_fano import Sequence, Sequences
 from rowloom.llm.scratch import fresh_path, shuffles_dropped
 from rowloom.llm.workers import forget_long, held
 
@@ -46,7 +46,7 @@ MIN_COUNT = 1
 DISCOUNT = 0.75
 LAST_LEVEL = 3
 #: Documents to a shard, on average, and the most shards (as powers of two).
-SHARD_DOCS, MAX_SHARD_BITS = 4096, 14
+SHARD_DOCS, MAX_SHARD_BITS = 8192, 14
 #: Entries of a worker's vocabulary cache, characters and tokens of a slice, keys of a block.
 CACHE_WORDS, SLICE_CHARS, SLICE_TOKENS, BLOCK_KEYS = 600_000, 2_000_000, 200_000, 4_000_000
 #: The end of a text; white space, so no word equals it.
@@ -193,14 +193,70 @@ class Model:
         return np.arange(1, 1 << self.bits, dtype=U64) << U64(64 - self.bits) if self.bits else np.zeros(0, U64)
 
 
-@functools.lru_cache(maxsize=4096)
-def _mapped(uri: str) -> dict:
-    arrays = store.read(uri)
-    sequences = {}
-    for name in ("succ", "ptr"):
-        if f"{name}.shape" in arrays:
-            sequences[name] = Sequence({k[len(name) + 1 :]: v for k, v in arrays.items() if k.startswith(name + ".")})
-    return arrays | sequences
+class Level:
+    """All shards of a level in one range of addresses, so that a look-up costs the same however many there are."""
+
+    def __init__(self, model: Model, level: int) -> None:
+        # A shard is there if it has tokens, or contexts for the n-grams of the level.
+        there = np.diff(model.starts[max(1, level - 1)]) > 0
+        self.files = store.Mapped([f"{model.folder}/{level}-{b:05d}" if x else None for b, x in enumerate(there)])
+        #: Number of ids of the level before each shard.
+        self.first = model.starts.get(level, np.zeros(1, np.int64))[:-1]
+        self.at: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def get(self, name: str, shard: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
+        """Numbers of ``width`` bytes at indices of an array of the shards."""
+        return self.files.views[width][self.place(name)[0][shard] + index]
+
+    def place(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if name not in self.at:
+            self.at[name] = self.files.places(name)
+        return self.at[name]
+
+    @functools.cached_property
+    def universe(self) -> int:
+        """The same in all shards."""
+        at, size, _ = self.place("universe")
+        return int(self.files.views[8][at[size > 0][0]])
+
+    @functools.cached_property
+    def filter_mask(self) -> np.ndarray:
+        return np.maximum(self.place("filter")[1] * 8, 1).astype(U64) - U64(1)
+
+    def sequences(self, name: str) -> Sequences:
+        shape, size, _ = self.place(f"{name}.shape")
+        n, bits = (np.where(size > 0, self.files.views[8][shape + i], 0).astype(np.int64) for i in (0, 1))
+        parts = {k: self.place(f"{name}.{k}") for k in ("low", "high", "rank", "ones", "zeros")}
+        return Sequences(self.files.views[8], self.files.views[4], n, bits, {k: v[0] for k, v in parts.items()}, {k: v[1] for k, v in parts.items()})
+
+    @functools.cached_property
+    def succ(self) -> Sequences:
+        return self.sequences("succ")
+
+    @functools.cached_property
+    def ptr(self) -> Sequences:
+        return self.sequences("ptr")
+
+    def counts(self, shard: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """How often tokens occurred; a shard with a very frequent one has wider numbers."""
+        width = self.place("count")[2][shard]
+        out = np.zeros(len(index), np.int64)
+        for w in (4, 8):
+            own = np.flatnonzero(width == w)
+            out[own] = self.get("count", shard[own], index[own], w).astype(np.int64)
+        return out
+
+    def hashed(self, shard: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Index of each hash in its shard, -1 where it is not there."""
+        first, size, _ = self.place("hash")
+        low, top = first[shard], first[shard] + size[shard]
+        hashes, end = self.files.views[8], top
+        for _ in range(int(size.max(initial=0)).bit_length()):
+            # Where nothing is left, low stays.
+            mid = (low + top) >> 1
+            less = (hashes[mid] < h) & (low < top)
+            low, top = np.where(less, mid + 1, low), np.where(less, top, mid)
+        return np.where((low < end) & (hashes[low] == h), low - first[shard], -1)
 
 
 class Reader:
@@ -208,42 +264,48 @@ class Reader:
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.levels: dict[int, Level] = {}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
 
-    def shard(self, level: int, b: int) -> dict:
-        first = {"first": self.model.starts[level][b : b + 1]} if level in self.model.starts else {}
-        return _mapped(f"{self.model.folder}/{level}-{b:05d}") | first
+    def level(self, level: int) -> Level:
+        if level not in self.levels:
+            self.levels[level] = Level(self.model, level)
+        return self.levels[level]
 
-    def by_shard(self, level: int, index: np.ndarray) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
-        """Shard, places in ``index`` and local indices, for indices of the level's ids (-1: none)."""
+    def located(self, level: int, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shard and local index of ids of the level."""
         starts = self.model.starts[level]
         shard = np.searchsorted(starts, index, side="right") - 1
-        order = np.argsort(shard.astype(np.int16), kind="stable")
-        order = order[index[order] >= 0]
+        return shard, index - starts[shard]
+
+    def by_shard(self, level: int, index: np.ndarray) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+        """What is below ids of the level, shard by shard: its arrays, places in ``index`` and local indices (-1: none)."""
+        places = np.flatnonzero(index >= 0)
+        shard, local = self.located(level, index[places])
+        order = np.argsort(shard, kind="stable")
         for a, e in _runs(shard[order]):
-            b = int(shard[order[a]])
-            yield self.shard(level + 1, b), order[a:e], index[order[a:e]] - starts[b]
+            own = order[a:e]
+            yield store.read(f"{self.model.folder}/{level + 1}-{shard[own[0]]:05d}"), places[own], local[own]
+
+    def weights(self, level: int, context: np.ndarray) -> np.ndarray:
+        """Weights of contexts, which are ids of the level."""
+        shard, local = self.located(level, context)
+        return _DECODED[self.level(level + 1).get("weight", shard, local, 2)]
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Ids of words, -1 for unknown ones."""
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
         ids = np.full(len(h), -1, np.int64)
-        if not self.model.types:
+        if not self.model.types or not words:
             return ids
-        starts = self.model.starts[1]
+        order = np.argsort(h)
+        h = h[order]
         shard = np.searchsorted(self.model.cut, h, side="right")
-        order = np.argsort(shard.astype(np.int16), kind="stable")
-        for a, e in _runs(shard[order]):
-            b, own = int(shard[order[a]]), order[a:e]
-            if starts[b] == starts[b + 1]:
-                continue
-            level = self.shard(1, b)
-            at = np.minimum(np.searchsorted(level["hash"], h[own]), len(level["hash"]) - 1)
-            hit = level["hash"][at] == h[own]
-            ids[own[hit]] = starts[b] + at[hit]
+        at = self.level(1).hashed(shard, h)
+        ids[order] = np.where(at >= 0, self.model.starts[1][shard] + at, -1)
         return ids
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -260,16 +322,13 @@ class Reader:
         some, inverse = np.unique(ids, return_inverse=True)
         counts, weights, begins = np.zeros(len(some), np.int64), np.ones(len(some)), np.zeros(len(some), np.int64)
         first = np.searchsorted(some, 0)
-        starts = self.model.starts[1]
-        for a, e in _runs(np.searchsorted(starts, some[first:], side="right")):
-            b = int(np.searchsorted(starts, some[first + a], side="right")) - 1
-            own = slice(first + a, first + e)
-            local = some[own] - starts[b]
-            counts[own] = self.shard(1, b)["count"][local]
+        if first < len(some):
+            shard, local = self.located(1, some[first:])
+            counts[first:] = self.level(1).counts(shard, local)
             if more:
-                level = self.shard(2, b)
-                weights[own] = _DECODED[level["weight"][local]]
-                begins[own] = level["ptr"].access(local) + level["first"][0]
+                level = self.level(2)
+                weights[first:] = _DECODED[level.get("weight", shard, local, 2)]
+                begins[first:] = level.ptr.access(shard, local).astype(np.int64) + level.first[shard]
         return counts[inverse], weights[inverse], begins[inverse]
 
     def successors(self, level: int, context: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,16 +338,18 @@ class Reader:
         # Each distinct pair once, in order: neighbours lie together in the level.
         pair, inverse = np.unique(self.model.keys(level + 1, context[asked], following[asked]), return_inverse=True)
         at_pair, p_pair = np.full(len(pair), -1, np.int64), np.zeros(len(pair))
-        contexts, follow = self.model.parts(level + 1, pair)
-        for shard, places, local in self.by_shard(level, contexts):
-            keys = local.astype(U64) * U64(shard["universe"][0]) + follow[places]
-            bit = _bit(keys, len(shard["filter"]))
-            maybe = np.flatnonzero(shard["filter"][bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-            at = shard["succ"].find(keys[maybe])
+        if len(pair):
+            contexts, follow = self.model.parts(level + 1, pair)
+            below, (shard, local) = self.level(level + 1), self.located(level, contexts)
+            keys = local.astype(U64) * U64(below.universe) + follow
+            bit = (_mixed(keys) & below.filter_mask[shard]).astype(np.int64)
+            maybe = np.flatnonzero(below.get("filter", shard, bit >> 3, 1) >> (bit & 7).astype(np.uint8) & 1)
+            shard = shard[maybe]
+            at = below.succ.find(shard, keys[maybe])
             hit = np.flatnonzero(at >= 0)
-            places, at = places[maybe[hit]], at[hit]
-            at_pair[places] = at + shard["first"][0]
-            p_pair[places] = _DECODED[shard["prob"][at]]
+            places, at, shard = maybe[hit], at[hit], shard[hit]
+            at_pair[places] = at + below.first[shard]
+            p_pair[places] = _DECODED[below.get("prob", shard, at, 2)]
         found[asked], p[asked] = at_pair[inverse], p_pair[inverse]
         return found, p
 
@@ -350,17 +411,17 @@ def _count_tokens(texts: DataFrame, model: Model) -> None:
     model.set_level(1, {r.shard: r.size for r in found})
 
 
-def _bit(keys: np.ndarray, size: int) -> np.ndarray:
-    """Place of each key among the bits of a filter of ``size`` (a power of two) bytes."""
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """Numbers whose lowest bits are the place of each key among the bits of a filter."""
     with np.errstate(over="ignore"):
-        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(32) & U64(size * 8 - 1)).astype(np.int64)
+        return (keys * _SPREAD) >> U64(32)
 
 
 def _filter(keys: np.ndarray) -> np.ndarray:
     """Four to eight bits for each key; a key whose bit is not set is not in the level."""
     size = 1 << max(3, len(keys).bit_length() - 1)
     flags = np.zeros(size * 8, bool)
-    flags[_bit(keys, size)] = True
+    flags[(_mixed(keys) & U64(size * 8 - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little")
 
 
@@ -505,8 +566,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
                         context[1:] = found[:-1]
                         context[starts] = -1
                         _, q = reader.successors(2, context, place)
-                        for level, places, local in reader.by_shard(2, context):
-                            p[places] *= _DECODED[level["weight"][local]]
+                        some = np.flatnonzero(context >= 0)
+                        if len(some):
+                            p[some] *= reader.weights(2, context[some])
                         p += q
                 columns = np.diff(np.append(starts, len(ids))), (counts > 0).astype(np.int64), base, np.log10(p)
                 for column, values in zip(out, columns, strict=True):

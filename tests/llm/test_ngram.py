@@ -1,11 +1,12 @@
 import math
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from rowloom.llm import ngram
+from rowloom.llm import ngram, store
 from rowloom.llm.elias_fano import Sequence
 from rowloom.llm.scratch import fresh_path
 
@@ -113,3 +114,50 @@ def test_empty_table_and_nulls(spark):
     assert ngram.train_and_score(empty).count() == 0
     rows = ngram.train_and_score(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
     assert [(r.held_out, r.n_known, r.train_tokens) for r in rows] == [(False, 0, 0)] * 2
+
+
+def test_looking_up_costs_the_same_with_many_shards(spark):
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(" ".join(f"w{k}" for k in rng.zipf(1.3, 400) % 3000),) for _ in range(20)], "text string")
+    calls, found = {}, {}
+    for bits in (1, 7):
+        model = ngram.Model(fresh_path(spark, "ngram"), bits)
+        ngram._count_tokens(docs, model)
+        rows = ngram._identified(docs, model, "text")
+        for level in (2, 3):
+            ngram._count_ngrams(rows, model, level)
+        reader, calls[bits] = ngram.Reader(model), 0
+        (words, number, lengths) = next(ngram.words_of(docs.limit(10).toArrow().column(0).combine_chunks()))
+
+        def look_up():
+            ids = reader.ids(words)[number]
+            starts = np.cumsum(lengths) - lengths
+            counts, weights, begins = reader.tokens(ids, True)
+            found, place, q = reader.pairs(ids, begins, starts)
+            return counts, weights, q, reader.successors(2, found[:-1], place[1:])[1]
+
+        def count(*_):
+            calls[bits] += 1
+
+        look_up()  # The shards are mapped now.
+        reader.clear()
+        sys.setprofile(count)
+        try:
+            found[bits] = look_up()
+        finally:
+            sys.setprofile(None)
+    assert calls[7] < 1.5 * calls[1]
+    for one, two in zip(found[1], found[7], strict=True):
+        assert (one == two).all()
+
+
+def test_counts_of_shards_with_numbers_of_different_width(tmp_path):
+    model = ngram.Model(str(tmp_path), 2)
+    model.set_level(1, {0: 2, 1: 1, 3: 2})
+    for shard, counts in ((0, np.array([1, 5], np.uint32)), (1, np.array([1 << 40], np.int64)), (3, np.array([7, (1 << 32) - 1], np.uint32))):
+        store.write(f"{tmp_path}/1-{shard:05d}", {"hash": np.arange(len(counts), dtype=np.uint64) + np.uint64(shard << 62), "count": counts})
+    level = ngram.Reader(model).level(1)
+    shard, local = np.array([0, 3, 1, 0, 3]), np.array([1, 1, 0, 0, 0])
+    assert level.counts(shard, local).tolist() == [5, (1 << 32) - 1, 1 << 40, 1, 7]
+    asked = np.array([1, 2, 1 << 62, 1 << 63, (3 << 62) + 1], np.uint64)
+    assert level.hashed((asked >> np.uint64(62)).astype(np.int64), asked).tolist() == [1, -1, 0, -1, 1]
