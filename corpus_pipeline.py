@@ -13,33 +13,46 @@ from rowloom.llm import exact_dedup, langid, neardup, packing, scratch, suffixes
 from rowloom.llm.queries import tokenizer_path
 
 
+#: Bytes of the Arrow batches between Spark and its workers: texts are long, and each task holds a batch several times over.
+BATCH_BYTES = 6 << 20
+
+
+def _begin(spark: SparkSession) -> None:
+    """Free what earlier stages stashed; from here on the session's Arrow batches are of moderate size.
+
+    Results are planned when they are written, after the stage has returned, so the setting stays.
+    """
+    scratch.release_all()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fit a learned language; the others go, among them those without a letter.  A missing label is filled in."""
-    scratch.release_all()
+    _begin(spark)
     return langid.identified_documents(docs, langid.learn(docs))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of equal texts."""
-    scratch.release_all()
+    _begin(spark)
     return exact_dedup.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates."""
-    scratch.release_all()
+    _begin(spark)
     return neardup.kept_documents(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that a document with a smaller id has."""
-    scratch.release_all()
+    _begin(spark)
     return suffixes.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences of 2,048 tokens."""
-    scratch.release_all()
+    _begin(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), size=2048)
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from rowloom.llm import scratch
 from tests.llm import test_neardup, test_suffixes
@@ -71,3 +73,17 @@ def test_empty_tables_and_columns_with_clashing_names(spark, tmp_path):
                 assert all(r[5:] == extra for r in docs.collect())
         assert (docs.count() > 50) == (name == "full")
     scratch.release_all()
+
+
+def test_batches_of_long_texts_are_of_moderate_size(spark):
+    """10,000 rows, Spark's most for a batch, are 40 MB here."""
+    docs = spark.range(10_000, numPartitions=1).selectExpr("id doc_id", "repeat(cast(id as string), 1000) text", "'en' lang", "'s' source", "4000 n_chars")
+    sizes = lambda batches: (b.select(["n"]) for b in map(measured, batches))
+    for _, stage in corpus_pipeline.STAGES[1:2] + corpus_pipeline.STAGES[-1:]:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(1), "")
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 8 << 20
+
+
+def measured(batch):
+    return pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
